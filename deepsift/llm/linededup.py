@@ -5,7 +5,7 @@
 3. Hashes are dealt into shards of about SHARD_KEYS. A shard becomes one row: a minimal perfect hash that
    indexes an array of 32-bit fingerprints, one of saturating 8-bit counts, and owners of what is repeated.
 4. A document's hashes go to their shard and probe its arrays as a stream; the shard is in memory, they are
-   not. A shard with more than 1/HOT of all probes (a very frequent line) has copies for parts of its probes;
+   not. A shard with more than HOT_LEAST and 1/HOT of all probes (a very frequent line) has copies for parts of its probes;
    there are at most HOT such shards, whatever the input.
 5. Documents meet the hashes that they lose and drop those lines.
 """
@@ -23,8 +23,10 @@ from .common import BIN, INT, LONG, Scratch, fields
 from .mphf import PerfectHash
 
 MIN_CHARS = 10
-SHARD_KEYS = 200_000
+SHARD_KEYS = 50_000
 HOT = 512
+#: A shard has copies for parts of its probes only above so many.
+HOT_LEAST = 4 * SHARD_KEYS
 #: Stands for "no document" among owners.
 NOBODY = (1 << 63) - 1
 
@@ -127,7 +129,7 @@ def lost_lines(docs: DataFrame, least: int = MIN_CHARS, scratch: Scratch | None
     shard = F.pmod("h1", F.lit(shards)).alias("shard")
     index = scratch.save(distinct.select(shard, "h1", "h2", "n", "owner").groupBy("shard").applyInArrow(_shard, INDEX))
     total = index.agg(F.sum("probes")).first()[0] or 0
-    share = max(1, total // HOT)
+    share = max(HOT_LEAST, total // HOT)
     parts = F.ceil(F.col("probes") / share).cast("int")
     hot = scratch.save(index.where(F.col("probes") > share).select("shard", parts.alias("parts")))
     hot = F.broadcast(hot)  # at most HOT rows
