@@ -9,6 +9,7 @@ class by distributed numbering; a table of a few thousand rows maps class and ra
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ LENGTH = 4096
 UNIT, FINE, FINE_STEPS = 8, 256, 64
 END_ID = 2
 #: A word's ids are kept for so many different words of a Python worker, then the cache starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
+#: New words of so many documents are encoded at once.
+TOGETHER = 512
 _CACHES: dict[str, "_Words"] = {}
 
 
@@ -42,13 +45,20 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+    def learn(self, words: set[bytes]) -> None:
+        """Encode at once what is not known yet; the cache starts anew when it is full."""
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = out
-        return out
+        new = [w for w in words if w not in self]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.update(zip(new, [pack_ids(x.ids) for x in found], strict=True))
+
+    def __missing__(self, word: bytes) -> bytes:
+        return pack_ids(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def words_of(path: str) -> _Words:
@@ -61,8 +71,7 @@ def token_bytes(text: bytes | None, words: _Words) -> bytes:
     """A document's ids and the end id, 4 bytes each. Texts with a special token's string are not folded by word."""
     text = text or b""
     if b"<|" in text:
-        ids = words.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-        body = np.array(ids, "<u4").tobytes()
+        body = pack_ids(words.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
     else:
         body = b"".join(map(words.__getitem__, text.lower().split()))
     return body + END_ID.to_bytes(4, "little")
@@ -78,7 +87,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         words = words_of(tokenizer)
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            texts = b.column(1).to_pylist()
+            for at, (i, t) in enumerate(zip(b.column(0).to_pylist(), texts, strict=True)):
+                if at % TOGETHER == 0:
+                    words.learn(set().union(*((x or b"").lower().split() for x in texts[at : at + TOGETHER])))
                 ids = token_bytes(t, words)
                 n = len(ids) // 4
                 for s in range(0, n, length):
