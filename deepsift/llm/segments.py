@@ -152,12 +152,12 @@ def _sketch(words: list[str]) -> int:
 def fit(rows: list[tuple[bytes | None, int]]) -> ToxicModel:
     """From (text, label) of a bounded sample. With one class or none, the model scores everything low.
 
-    Weights come from one half of the sample, where near copies count once and a token once for each document;
-    the logistic comes from the other half.
+    Weights come from three quarters of the sample, where near copies count once and a token once for each document;
+    the logistic comes from the rest.
     """
     docs = [(t, y) for _, t, y in sorted((zlib.crc32(t or b""), t or b"", int(y)) for t, y in rows)]
     counts, seen = (Counter(), Counter()), set()
-    for text, y in docs[::2] + (docs[1::2] if len(docs) < 40 else []):
+    for text, y in (x for i, x in enumerate(docs) if i % 4 != 3 or len(docs) < 40):
         words = tokens(text)
         if (mark := (_sketch(words), y)) not in seen:
             seen.add(mark)
@@ -197,7 +197,7 @@ def fit(rows: list[tuple[bytes | None, int]]) -> ToxicModel:
             n, s = len(words), max((v for v in map(model.known.__getitem__, words) if v is not None), default=0.0)
             best_of.append(math.exp(-model.lam * s) * n if s else n)
     model.log_k = -math.log(max(1e-9, float(np.mean(best_of)))) if best_of else math.log(0.1)
-    test = docs[1::2] if len(docs) >= 40 else docs
+    test = docs[3::4] if len(docs) >= 40 else docs
     x = np.array([min(200.0, model.evidence(text)[0]) for text, _ in test])
     model.logistic = _logistic(x, np.array([y for _, y in test], np.float64))
     return model
