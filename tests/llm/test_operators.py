@@ -133,17 +133,17 @@ def test_toxicity(spark, docs):
     rng = random.Random(2)
     clean = [f"w{i}" for i in range(300)]
     rows = []
-    for i in range(400):
+    for i in range(1000):
         words = [rng.choice(clean) for _ in range(rng.randint(20, 200))]
         if i % 5 == 0:
             words.insert(rng.randrange(len(words)), rng.choice(["Nasty!", "vile,", "rotten"]))
         rows.append((i, " ".join(words), int(i % 5 == 0)))
     known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = segments.learn(known.where("doc_id < 300"), known.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int")))
+    model = segments.learn(known.where("doc_id < 900"), known.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int")))
     got = {r.doc_id: r for r in segments.score_documents(known, model).collect()}
-    assert sum((got[i].score >= 0.5) == bool(y) for i, _, y in rows if i >= 300) >= 98
-    at = got[305].passages[0]
-    assert rows[305][1].split()[at["first"] : at["last"] + 1][0].lower().strip("!,") in ("nasty", "vile", "rotten")
+    assert sum((got[i].score >= 0.5) == bool(y) for i, _, y in rows if i >= 900) >= 98
+    at = got[905].passages[0]
+    assert rows[905][1].split()[at["first"] : at["last"] + 1][0].lower().strip("!,") in ("nasty", "vile", "rotten")
     odd = segments.score_documents(docs, model).collect()
     assert len(odd) == len(odd_docs()) and all(0 <= r.score <= 1 for r in odd)
     assert segments.score_documents(empty(spark), segments.learn(empty(spark), empty(spark, "doc_id long, toxic int"))).count() == 0
