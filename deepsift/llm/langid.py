@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import BOOL, DBL, LONG, STR, fields
 
-#: Labelled documents that the model is fitted on at most, for each language, by a hash of doc_id.
-FIT_DOCS = 1500
+#: Labelled documents that the model is fitted on at most, for each language and in all, by a hash of doc_id.
+FIT_DOCS, FIT_ALL = 400, 2400
 #: N-grams of 1 to 3 characters go to so many buckets by hash.
 BUCKETS = 1 << 13
 CENTROIDS = 4
@@ -72,8 +72,11 @@ class LanguageModel:
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    """Unit rows of log-scaled counts times idf; ``counts`` itself is overwritten."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    counts /= np.maximum(np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None], np.float32(1e-12))
+    return counts
 
 
 def _cluster(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -96,9 +99,11 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     languages = sorted({g for _, g in rows})
     if not rows:
         return LanguageModel([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+    each = max(2, FIT_ALL // len(languages))
+    rows = [r for g in languages for r in [x for x in rows if x[1] == g][:each]]
     counts = np.stack([grams(t) for t, _ in rows])
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x, of = weigh(counts, idf).astype(np.float32), np.array([languages.index(g) for _, g in rows])
+    x, of = weigh(counts, idf), np.array([languages.index(g) for _, g in rows])
     centroids, owner, floor = [], [], []
     for k in range(len(languages)):
         own = _cluster(x[of == k], CENTROIDS, k)
