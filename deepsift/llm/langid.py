@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import BOOL, DBL, LONG, STR, fields
 
@@ -18,7 +19,7 @@ BUCKETS = 1 << 13
 CENTROIDS = 4
 UNKNOWN = "und"
 #: Two texts that share nothing are at cosine 0; below this share of what a language's own documents reach at least, a text is rejected.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.3
 #: A text of many characters is counted in parts of this size; the counts add up to those of the whole.
 PART = 1 << 18
 _M = np.uint32(2654435761)
@@ -115,13 +116,10 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 
 def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
     """Fit on documents(doc_id, text, lang) with both text and lang, ``fit_docs`` of each language at most, by hash."""
-    from pyspark.sql.window import Window
-
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> 'und'").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), "lang")
-    # Two steps, so that a language with most of the rows is cut down before its rows meet.
-    cell = F.pmod("h", F.lit(256))
-    first = Window.partitionBy("lang", "cell").orderBy("h", "id")
-    some = known.withColumn("cell", cell).withColumn("r", F.row_number().over(first)).where(F.col("r") <= fit_docs)
+    # A language with many rows is thinned by hash before its rows meet; four times what is needed is left.
+    sizes = F.broadcast(known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * fit_docs / F.count("*")).alias("share")))  # a row per language
+    some = known.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= fit_docs)
     chosen = chosen.select("id").distinct()
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> 'und'").join(F.broadcast(chosen), docs.doc_id == chosen.id)
