@@ -94,6 +94,17 @@ def combine_two(p: Column | str, q: Column | str) -> Column:
     return F.exp(-x / 2) * (1 + x / 2)
 
 
+def normal_tail(z: Column | str) -> Column:
+    """P(X > z) of the standard normal law, z >= 0: a power series below 3, a continued fraction from there on."""
+    z = col(z)
+    density = F.exp(-z * z / 2) * 0.3989422804014326779
+    steps = F.sequence(F.lit(1), F.lit(60))
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    grown = F.aggregate(steps, start, lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * z * z / (2 * k + 1)).alias("sum")))["sum"]
+    fraction = F.aggregate(F.reverse(steps), z, lambda x, k: z + k / x)
+    return F.when(z < 3, 0.5 - density * grown).otherwise(density / fraction)
+
+
 def log_sum(a: Column | str, b: Column | str) -> Column:
     """ln(e^a + e^b)."""
     hi, lo = F.greatest(col(a), col(b)), F.least(col(a), col(b))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import base_of, merged_error, phred_to_prob, prob_to_phred
 from ..functions.tests import combine_two, frequency_interval, poisson_tail, strand_bias
-from ..operators import call, mtc, order, pileup, summary
+from ..operators import bias, call, indelqual, mtc, order, pileup, summary
 from ..operators import variants as V
 from . import views as W
 
@@ -390,3 +390,29 @@ def depth_cap(spark, sf_dir):
 @query(f"{W.ONE} SELECT chrom, pos, alt, CAST(floor(-10 * log10(least(1.0, x))) AS INT) AS cb FROM (SELECT chrom, pos, alt, p * q * (1 - ln(p) - ln(q)) AS x FROM (SELECT *, {_P('sb')} AS p, {_P('(dp % 30)')} AS q FROM v))")
 def combined_bias(spark, sf_dir):
     return _vs(spark, sf_dir).select("chrom", "pos", "alt", prob_to_phred(combine_two(phred_to_prob("sb"), phred_to_prob(F.col("dp") % 30))).alias("cb"))
+
+
+@query(f"""{_RUNS} SELECT c.chrom, c.pos, CASE WHEN c.pos = max(c.pos) OVER (PARTITION BY c.chrom) OR r.length > 18 THEN '!' ELSE substr('{indelqual.BY_RUN}', 1 + coalesce(r.length, 1), 1) END AS q
+FROM contig c LEFT JOIN runs r ON r.chrom = c.chrom AND r.start = c.pos + 1""")
+def dindel_quality(spark, sf_dir):
+    return indelqual.position_qualities(W.contig(spark, sf_dir))
+
+
+_TAIL = """CASE WHEN z < 3 THEN 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * CASE WHEN z = 0 THEN 0.0 ELSE list_sum(list_transform(range(0, 61), lambda k: exp((2 * k + 1) * ln(z) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END
+  ELSE exp(-z * z / 2) / sqrt(2 * pi()) / list_reduce(list_concat([z], list_transform(range(60, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda x, k: z + k / x) END"""
+
+
+def _ranks(name: str, prop: str) -> str:
+    return f"""{name}_c AS (SELECT v.chrom, v.pos, v.ref_nt, v.alt_nt, o.{prop} AS x, count(*) FILTER (o.nt = v.ref_nt)::DOUBLE AS r, count(*) FILTER (o.nt = v.alt_nt)::DOUBLE AS a
+  FROM v JOIN obs o ON o.chrom = v.chrom AND o.pos = v.pos AND (o.nt = v.ref_nt OR o.nt = v.alt_nt) GROUP BY ALL
+), {name}_s AS (SELECT chrom, pos, ref_nt, alt_nt, sum(u) AS u, sum(r) AS nr, sum(a) AS na, sum(pow(r + a, 3) - r - a) AS ties, sum(r * x) / sum(r) AS mr, sum(a * x) / sum(a) AS ma, count(*) AS nv
+  FROM (SELECT *, r * (coalesce(sum(a) OVER (PARTITION BY chrom, pos, alt_nt ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + a / 2) AS u FROM {name}_c) GROUP BY ALL
+), {name}_z AS (SELECT *, CASE WHEN nv > 1 AND nr > 0 AND na > 0 AND ma < mr THEN abs((greatest(u, nr * na - u) - 0.5 - nr * na / 2) / sqrt((1 - ties / (pow(nr + na, 3) - nr - na)) * nr * na * (nr + na + 1) / 12)) END AS z FROM {name}_s
+), {name} AS (SELECT chrom, pos, alt_nt, CASE WHEN z IS NULL THEN 1.0 ELSE {_TAIL} END AS p FROM {name}_z)"""
+
+
+@query(f"""{W.ONE}, {_ranks("m", "mq")}, {_ranks("b", "bq")} SELECT v.chrom, v.pos, v.ref, v.alt, round(m.p, 6) AS mb_p, round(b.p, 6) AS bb_p, round(least(1.0, m.p * b.p * (1 - ln(m.p) - ln(b.p))), 6) AS cb_p
+FROM v JOIN m ON m.chrom = v.chrom AND m.pos = v.pos AND m.alt_nt = v.alt_nt JOIN b ON b.chrom = v.chrom AND b.pos = v.pos AND b.alt_nt = v.alt_nt""")
+def bias_test(spark, sf_dir):
+    observed = W.obs(spark, sf_dir)
+    return bias.bias_test(W.variants(observed), observed).select(*CALLS, *[F.round(c, 6).alias(c) for c in ("mb_p", "bb_p", "cb_p")])

@@ -52,19 +52,23 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].alias("qname"), f[1].cast("int").alias("flag"), F.nullif(f[2], F.lit("*")).alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), cigar_ops(f[5]).alias("ops"), f[9].alias("seq"), quals.alias("qual"), tags.alias("tags"))
 
 
+#: Blocks of a read's bases on the reference, from ops and pos: (r, q, len).
+ALIGNED = """
+  aggregate(ops, named_struct('r', pos, 'q', 0, 'out', cast(array() AS array<struct<r: bigint, q: int, len: int>>)),
+    (s, o) -> CASE
+      WHEN o.op IN ('M', '=', 'X') THEN named_struct('r', s.r + o.len, 'q', s.q + o.len, 'out', concat(s.out, array(named_struct('r', s.r, 'q', s.q, 'len', o.len))))
+      WHEN o.op IN ('I', 'S') THEN named_struct('r', s.r, 'q', s.q + o.len, 'out', s.out)
+      WHEN o.op IN ('D', 'N') THEN named_struct('r', s.r + o.len, 'q', s.q, 'out', s.out)
+      ELSE s END).out"""
+
+
 def observations(reads: DataFrame, bases: DataFrame) -> DataFrame:
     """A row per aligned base: the CIGAR walk as array expressions, then an equi-join with the reference's bases.
 
     ``M``, ``=`` and ``X`` put bases on positions; insertions and soft clips move along the read, deletions and
     skips along the reference.
     """
-    walk = F.expr("""
-      aggregate(ops, named_struct('r', pos, 'q', 0, 'out', cast(array() AS array<struct<r: bigint, q: int, len: int>>)),
-        (s, o) -> CASE
-          WHEN o.op IN ('M', '=', 'X') THEN named_struct('r', s.r + o.len, 'q', s.q + o.len, 'out', concat(s.out, array(named_struct('r', s.r, 'q', s.q, 'len', o.len))))
-          WHEN o.op IN ('I', 'S') THEN named_struct('r', s.r, 'q', s.q + o.len, 'out', s.out)
-          WHEN o.op IN ('D', 'N') THEN named_struct('r', s.r + o.len, 'q', s.q, 'out', s.out)
-          ELSE s END).out""")
+    walk = F.expr(ALIGNED)
     blocks = reads.select("qname", "chrom", "mapq", "seq", "qual", (F.col("flag").bitwiseAND(16) != 0).alias("is_rev"), F.explode(walk).alias("b"))
     each = blocks.select("*", F.explode(F.expr("sequence(0, b.len - 1)")).alias("i"))
     at = F.col("b.q") + F.col("i") + 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deepsift.functions import quality as Q
 from deepsift.functions import tests as S
-from deepsift.operators import mtc, order
+from deepsift.operators import indelqual, mtc, order
 from deepsift.operators import variants as V
 from deepsift.plans import queries as P
 from deepsift.sources import text, vcf
@@ -147,3 +147,19 @@ def test_query_against_sql(spark, name):
     cols = sorted(df.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({P.SQL[name]})").fetchall()
     assert sorted(str([_norm(v) for v in r]) for r in df.select(cols).collect()) == sorted(str([_norm(v) for v in r]) for r in want)
+
+
+def test_normal_tail(spark):
+    for z in (0.0, 0.5, 1.96, 2.999, 3.0, 5.0, 8.0):
+        assert math.isclose(one(spark, S.normal_tail(F.lit(z)))[0], math.erfc(z / math.sqrt(2)) / 2, rel_tol=1e-9)
+
+
+def test_indel_qualities_of_reads(spark, tmp_path):
+    contig = spark.createDataFrame([("c", i, b) for i, b in enumerate("ACCCGTTA")], "chrom string, pos long, base string")
+    assert "".join(r.q for r in indelqual.position_qualities(contig).orderBy("pos").collect()) == "MMMMMMM!"
+    file = tmp_path / "r.sam"
+    file.write_text("".join(f"{n}\t{f}\tc\t{p}\t30\t{c}\t*\t0\t0\t{s}\t*\tBI:Z:old\n" for n, f, p, c, s in (("a", 0, 1, "2S3M1I2M", "TTACCGCG"), ("a", 0, 1, "2S3M1I2M", "TTACCGCG"), ("b", 4, 1, "3M", "ACC"), ("c", 0, 6, "3M", "TTA"))))
+    reads = text.read_sam(spark, str(file))
+    got = sorted((r.qname, r.tags["BI"], r.tags.get("BD")) for r in indelqual.by_homopolymer(reads, contig).collect())
+    assert got == [("a", "!!MMM!MM", "!!MMM!MM"), ("a", "!!MMM!MM", "!!MMM!MM"), ("b", "old", None), ("c", "MM!", "MM!")]
+    assert {r.tags["BD"] for r in indelqual.uniform(reads, 20, 30).where("qname = 'c'").collect()} == {"???"}
