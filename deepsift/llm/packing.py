@@ -27,8 +27,8 @@ LENGTH = 4096
 UNIT, FINE, FINE_STEPS = 8, 256, 64
 END_ID = 2
 #: A word's ids are kept for so many different words of a Python worker, then the cache starts anew.
-CACHE_WORDS = 1_000_000
-#: New words of so many documents are encoded at once.
+CACHE_WORDS = 250_000
+#: So many documents are in Python's hands at once, and their new words are encoded together.
 TOGETHER = 512
 _CACHES: dict[str, "_Words"] = {}
 
@@ -85,12 +85,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         words = words_of(tokenizer)
-        for b in batches:
+        for b in (b.slice(lo, TOGETHER) for b in batches for lo in range(0, b.num_rows, TOGETHER)):
             rows = []
             texts = b.column(1).to_pylist()
-            for at, (i, t) in enumerate(zip(b.column(0).to_pylist(), texts, strict=True)):
-                if at % TOGETHER == 0:
-                    words.learn(set().union(*((x or b"").lower().split() for x in texts[at : at + TOGETHER])))
+            words.learn(set().union(*((x or b"").lower().split() for x in texts)))
+            for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
                 ids = token_bytes(t, words)
                 n = len(ids) // 4
                 for s in range(0, n, length):
