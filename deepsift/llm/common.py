@@ -129,3 +129,12 @@ LONG, INT, STR, DBL, BIN, BOOL = T.LongType(), T.IntegerType(), T.StringType(),
 
 def fields(**types: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in types.items()])
+
+
+#: A Python worker takes so many rows of a batch into its hands at once; the batch itself is Arrow memory.
+TOGETHER = 512
+
+
+def slices(batches: Iterable, rows: int = TOGETHER) -> Iterable:
+    """Arrow batches in slices of at most ``rows`` rows, without a copy."""
+    return (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))

@@ -9,6 +9,7 @@ class by distributed numbering; a table of a few thousand rows maps class and ra
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from dataclasses import dataclass
@@ -20,41 +21,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import INT, LONG, Scratch, fields, number_rows
+from .common import INT, LONG, Scratch, fields, number_rows, slices
 
 LENGTH = 4096
 #: Class widths: multiples of UNIT tokens, above FINE tokens growing by 1/FINE_STEPS each.
 UNIT, FINE, FINE_STEPS = 8, 256, 64
 END_ID = 2
-#: A word's ids are kept for so many different words of a Python worker, then the cache starts anew.
+#: A word's ids are kept while it is among the last so many to twice as many different words of a Python worker.
 CACHE_WORDS = 250_000
-#: So many documents are in Python's hands at once, and their new words are encoded together.
-TOGETHER = 512
+#: New words are encoded in texts of so many words.
+JOINED = 256
 _CACHES: dict[str, "_Words"] = {}
+#: A word of its own that stands between joined words; a word that holds it is encoded alone.
+_MARK = "\x01"
 
 
-class _Words(dict):
+class _Words:
     """From a white-space-free piece of text, lower-cased A-Z, to its ids as little-endian 32-bit numbers.
 
     Exact for tokenizers that split at white space, fold case and merge within what is left (word_bpe_49k).
+    Words live in two generations: when the young one is full it becomes the old one, and words met again move
+    over, so frequent words are never forgotten and memory is bounded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would only hold memory
         self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode at once what is not known yet; the cache starts anew when it is full."""
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.update(zip(new, [pack_ids(x.ids) for x in found], strict=True))
-
-    def __missing__(self, word: bytes) -> bytes:
-        return pack_ids(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        """Make all of ``words`` young, encoding what neither generation knows."""
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        own, joined = _MARK.encode(), []
+        for w in words:
+            if w not in self.young:
+                if (ids := self.old.get(w)) is not None:
+                    self.young[w] = ids
+                elif self.mark is None or own in w:
+                    self.young[w] = self.encode(w)
+                else:
+                    joined.append(w)
+        for lo in range(0, len(joined), JOINED):
+            part = joined[lo : lo + JOINED]
+            text = f" {_MARK} ".join(w.decode() for w in part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
+            if len(ends) != len(part):
+                raise RuntimeError("the tokenizer doesn't keep words apart")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                self.young[w] = raw[at:end]
+                at = end + 4
+
+    def encode(self, text: bytes) -> bytes:
+        return pack_ids(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+
+    def ids(self, words: list[bytes]) -> bytes:
+        """The ids of words that were learnt just now."""
+        return b"".join(map(self.young.__getitem__, words))
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -68,12 +98,12 @@ def words_of(path: str) -> _Words:
 
 
 def token_bytes(text: bytes | None, words: _Words) -> bytes:
-    """A document's ids and the end id, 4 bytes each. Texts with a special token's string are not folded by word."""
+    """A document's ids and the end id, 4 bytes each, its words learnt before. Texts with a special token's string are not folded by word."""
     text = text or b""
     if b"<|" in text:
-        body = pack_ids(words.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+        body = words.encode(text)
     else:
-        body = b"".join(map(words.__getitem__, text.lower().split()))
+        body = words.ids(text.lower().split())
     return body + END_ID.to_bytes(4, "little")
 
 
@@ -85,10 +115,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         words = words_of(tokenizer)
-        for b in (b.slice(lo, TOGETHER) for b in batches for lo in range(0, b.num_rows, TOGETHER)):
+        for b in slices(batches):
             rows = []
             texts = b.column(1).to_pylist()
-            words.learn(set().union(*((x or b"").lower().split() for x in texts)))
+            words.learn(set().union(*(x.lower().split() for x in texts if x and b"<|" not in x)))
             for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
                 ids = token_bytes(t, words)
                 n = len(ids) // 4
