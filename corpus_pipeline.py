@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deepsift.llm import langid, linededup, mixing, packing, simhash
-from deepsift.llm.common import Scratch, table
+from deepsift.llm.common import Scratch, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # a fixed number of centroids for each language
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = [not rejected for _, _, rejected in shared.value.predict(b.column("text").to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 

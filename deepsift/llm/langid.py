@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BOOL, DBL, LONG, STR, fields
+from .common import BOOL, DBL, LONG, STR, fields, slices
 
 #: Labelled documents that the model is fitted on at most, for each language and in all, by a hash of doc_id.
 FIT_DOCS, FIT_ALL = 400, 2400
@@ -139,7 +139,7 @@ def predict_documents(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of centroids for each language
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             got = shared.value.predict(b.column(1).to_pylist())
             columns = list(zip(*got, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], PREDICTED.names)

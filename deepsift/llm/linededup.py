@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, Scratch, fields
+from .common import BIN, INT, LONG, Scratch, fields, slices
 from .mphf import PerfectHash
 
 MIN_CHARS = 10
@@ -48,7 +48,7 @@ def line_hashes(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, doc_id): the distinct keys of each row of documents(doc_id, text)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, digests = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if t:
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, scratch: Scratch | None
     met = plain.join(lost, own.eqNullSafe(lost.doc_id), "left").drop("doc_id")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, lines, dropped = [], [], []
             for t, gone in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 rows = (t or "").split("\n")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, Scratch, components, fields
+from .common import LONG, Scratch, components, fields, slices
 from .golay import fuzzy_keys
 
 SEED = 42
@@ -55,7 +55,7 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp) of documents(doc_id, text); fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             prints = pa.array([_signed(fingerprint(t, width)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), prints], ["doc_id", "fp"])
 
