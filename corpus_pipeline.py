@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deepsift.llm import langid, linededup, mixing, packing, simhash
+from deepsift.llm import langid, linededup, mixing, packing, shingles
 from deepsift.llm.common import Scratch, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,13 +41,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
-    scratch = Scratch(spark, "near")
-    groups = simhash.near_duplicates(docs, scratch=scratch)
-    kept = scratch.save(groups.groupBy("component_id").agg(F.count("*").alias("__n")).select(F.col("component_id").alias("__id")))
-    met = docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"]), "left_semi")
-    first = _numbered(met, [F.xxhash64("text")]).where("__k = 1")
-    return first.select(*docs.columns)
+    """The document with the smallest doc_id of each group stays; texts are linked from a five-word Jaccard of 0.8 on."""
+    return shingles.keep_first(docs, Scratch(spark, "near"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +61,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packing", packed)]
 
-#: Centroids, fingerprint components, the cube's walk and column generation are beyond SQL; tests hold the stages against brute force.
+#: Centroids, shingle components, the cube's walk and column generation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,197 @@
+"""Near-duplicate documents by the exact Jaccard similarity of their word shingles.
+
+Texts with the same words in the same order are one node. Candidates share one of ``BANDS`` keys, each of ``ROWS``
+min-hashes over the shingles; of a pair at similarity 0.8 all keys differ with a chance of (1 - 0.8^6)^56 = 4e-8. Every
+candidate is verified on the shingles themselves, so a link is never wrong.
+
+All pairs of a key with up to ``SMALL`` nodes are tried. The nodes of a larger key are first held against one leader, and
+those not in one component then against a second one. What still lies in different components is tried pair by pair,
+so a crowded key of near copies costs rows in proportion to its members and no key loses a pair.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LONG, SALTS, Scratch, components, fields, slices
+
+WIDTH = 5
+#: Two texts are linked if 5 times what they share is 4 times all that they have, or more.
+SHARE = (4, 5)
+BANDS, ROWS = 56, 6
+SMALL = 16
+#: So many shingles meet the min-hashes at once.
+PART = 512
+#: A task remembers so many nodes.
+SEEN = 100_000
+_rng = np.random.default_rng(42)
+_FACTORS, _SHIFTS = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
+_FACTORS |= np.uint32(1)
+_PLACES = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """All windows of WIDTH words; of a shorter text the whole of it."""
+    if len(words) < WIDTH:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(WIDTH)), strict=False))
+
+
+def alike(a: set, b: set) -> bool:
+    part, whole = SHARE
+    if whole * min(len(a), len(b)) < part * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return whole * both >= part * (len(a) + len(b) - both)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def band_keys(words: list[bytes]) -> np.ndarray:
+    """The BANDS keys of a text with words, as signed longs."""
+    one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(one) - WIDTH + 1)
+    x = np.zeros(n, np.uint64)
+    for i in range(min(WIDTH, len(one))):
+        x += one[i : i + n] * _PLACES[i]
+    x = (_mixed(x) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, n, PART):
+        np.minimum(least, (x[i : i + PART, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = _mixed((keys + column) * _MIX)
+    return keys.view(np.int64)
+
+
+def _node(words: list[bytes]) -> int:
+    x = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _nodes(batches):
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(words_of(t)) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "h", "id"])
+
+
+def _keyed(batches):
+    seen: set[int] = set()  # copies need their keys once; forgetting some only repeats rows
+    for b in slices(batches):
+        some = {}
+        for words in map(words_of, b.column(0).to_pylist()):
+            if words and (i := _node(words)) not in seen:
+                seen.add(i)
+                some[i] = words
+        if len(seen) > SEEN:
+            seen.clear()
+        ids = np.repeat(np.fromiter(some, np.int64, len(some)), BANDS)
+        keys = np.concatenate([band_keys(w) for w in some.values()]) if some else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+
+
+def _alike(batches):
+    for b in slices(batches, 64):
+        last, own, hit = None, set(), []
+        for u, a, t in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if u != last:
+                last, own = u, shingles(words_of(a))
+            hit.append(alike(own, shingles(words_of(t))))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts are alike; the pairs of a u that has many stay spread over SALTS keys."""
+    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    first = pairs.select("u", "s").distinct().join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    met = pairs.join(first, ["u", "s"]).join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    return met.select("u", "v", "a", "b").mapInArrow(_alike, fields(u=LONG, v=LONG))
+
+
+def _by_key(members: DataFrame, *found) -> DataFrame:
+    """members(key, id, ...) with aggregates of their key, named and mergeable by min or max; a large key stays spread over SALTS."""
+    salted = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = salted.groupBy("key", "s").agg(*[f(c).alias(name) for name, f, c in found])
+    whole = parts.groupBy("key").agg(*[f(name).alias(name) for name, f, _ in found])
+    return salted.join(parts.select("key", "s").join(whole, "key"), ["key", "s"]).drop("s")
+
+
+def _apart(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (key, id, root) of keys whose members are not all in one component."""
+    roots = scratch.save(components(edges, scratch))
+    rooted = members.select("key", "id").join(roots, members.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    return _by_key(rooted, ("lo", F.min, "root"), ("hi", F.max, "root")).where("lo <> hi").select("key", "id", "root")
+
+
+def links(keyed: DataFrame, texts_of, scratch: Scratch, small: int = SMALL) -> DataFrame:
+    """Edges (u, v) between alike nodes that connect all alike nodes of a key; texts_of(ids) gives (id, text), the saved table keyed(key, id) is dropped."""
+    several = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    shared = scratch.save(keyed.join(several, "key").distinct())
+    shared = scratch.save(shared.join(shared.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")), "key"))
+    scratch.drop(keyed)
+    texts = scratch.save(texts_of(shared.select("id").distinct()))
+    u = F.col("u")
+    lists = shared.where(F.col("n") <= small).groupBy("key").agg(F.collect_list("id").alias("ids")).select("ids", F.explode("ids").alias("u"))
+    few = lists.select("u", F.explode(F.filter("ids", lambda x: x > u)).alias("v"))
+    crowded = scratch.save(shared.where(F.col("n") > small).select("key", "id", "lead"))
+    stars = crowded.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
+    edges = scratch.save(verified(few.unionByName(stars).distinct(), texts))
+    if crowded.isEmpty():
+        return edges
+    left = scratch.save(_apart(crowded, edges, scratch))
+    if left.isEmpty():
+        return edges
+    # another leader for each key, and of its members those of other components
+    led = _by_key(left, ("lead", F.min, F.struct(F.xxhash64("key", "id"), "id", "root")))
+    more = led.where("root <> lead.root").select(F.col("lead.id").alias("u"), F.col("id").alias("v")).distinct()
+    edges = scratch.save(edges.unionByName(verified(more, texts)))
+    left = scratch.save(_apart(left, edges, scratch))
+    if left.isEmpty():
+        return edges
+    other = left.select("key", F.col("id").alias("v"), F.col("root").alias("other"))
+    rest = left.join(other, "key").where("id < v AND root <> other").select(F.col("id").alias("u"), "v").distinct()
+    return scratch.save(edges.unionByName(verified(rest, texts)))
+
+
+def keep_first(docs: DataFrame, scratch: Scratch | None = None, small: int = SMALL) -> DataFrame:
+    """One row of documents(doc_id, text, ...) for each group of linked texts, the one with the smallest doc_id.
+
+    Groups are components. A null doc_id comes after all others; equal doc_ids are told apart by their text. Texts
+    without words are one group.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "shingles")
+    h, text = F.xxhash64("text"), F.col("text").cast("binary").alias("text")
+    marked = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), text).mapInArrow(_nodes, fields(doc_id=LONG, h=LONG, id=LONG)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    classes = scratch.save(marked.groupBy("id").agg(first))
+    keyed = scratch.save(docs.select(text).mapInArrow(_keyed, fields(key=LONG, id=LONG)))
+
+    def row_of(wanted: DataFrame, *columns) -> DataFrame:
+        """The rows of documents that wanted(doc_id, h) names."""
+        own = docs.select(F.col("doc_id").cast("long").alias("__id"), h.alias("__h"), *columns)
+        return own.join(wanted, F.col("__id").eqNullSafe(wanted.doc_id) & (F.col("__h") == wanted.h))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.join(classes, "id").select("id", "first.doc_id", "first.h")
+        return row_of(wanted, text).select("id", "text").dropDuplicates(["id"])
+
+    roots = scratch.save(components(links(keyed, texts_of, scratch, small), scratch))
+    rooted = classes.join(roots, classes.id == roots.node, "left").select(F.coalesce("root", "id").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    copies = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    kept = scratch.save(kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.h == copies.h)).select(kept.doc_id.alias("doc_id"), kept.h.alias("h"), "n"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    once = row_of(kept.where("n = 1"), whole).select("__row")
+    again = row_of(kept.where("n > 1"), whole).groupBy("__id", "__h").agg(F.first("__row").alias("__row")).select("__row")
+    return once.unionByName(again).select("__row.*")
