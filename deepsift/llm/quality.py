@@ -1,7 +1,7 @@
 """Quality rules whose cutoffs come with a proven limit on false rejections.
 
 A rule rejects a document if a statistic is above its cutoff. Cutoffs are set for each stratum (language) from
-labelled documents: candidates come from one half of the sample, and the other half, the holdout, tests them
+all labelled documents: candidates come from one half of them, and the other half, the holdout, tests them
 from the most lenient one on. A candidate passes if the exact (Clopper-Pearson) upper bound of the share of good
 documents that it rejects is at most RISK / number of rules; the last one before the first failure is taken
 (fixed-sequence testing, so candidates need no further correction), and strata and rules share DELTA by
@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import BOOL, DBL, LONG, STR, Scratch, fields
+from .common import DBL, INT, LONG, STR, Scratch, fields
 
 RISK, DELTA = 0.03, 0.05
-#: Labelled documents that set the cutoffs at most, by a hash of doc_id.
-FIT_DOCS = 50_000
 CANDIDATES = 60
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "repeats", "dup_lines", "upper", "marks", "word_length")
@@ -112,31 +112,92 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
+def _last_passing(steps: np.ndarray, lost: list[int], n: int, limit: float, level: float) -> float:
+    """The least of the ascending ``steps`` before the first failure from the top; ``lost`` of n good documents are above each."""
+    chosen = math.inf
+    for c, k in zip(steps[::-1], lost[::-1], strict=True):
+        # the upper bound is within the limit where so few losses are too unlikely at the limit
+        if not n or k > limit * n or binomial_cdf(k, n, limit) > level:
+            break
+        chosen = float(c)
+    return chosen
+
+
+def _levels(strata: int, risk: float, delta: float) -> tuple[float, float]:
+    return risk / len(RULES), delta / (len(RULES) * max(1, strata))
+
+
 def choose_cutoffs(rows: list[tuple[int, str | None, int, tuple[float, ...]]], risk: float = RISK, delta: float = DELTA) -> dict[str | None, list[float]]:
-    """Cutoffs by stratum and rule (inf: rejects nothing) from (hash, stratum, quality 1 good or 0, rule statistics)."""
+    """Cutoffs by stratum and rule (inf: rejects nothing) from (hash, stratum, quality 1 good or 0, rule statistics).
+
+    For rows in hand; ``cutoffs`` finds the same for a table.
+    """
     strata = defaultdict(lambda: ([], []))
     for h, s, good, values in rows:
         strata[s][h % 2].append((good, values))
-    limit, level = risk / len(RULES), delta / (len(RULES) * max(1, len(strata)))
+    limit, level = _levels(len(strata), risk, delta)
     out = {}
     for s, (first, second) in strata.items():
         tune = np.array([v for _, v in first], np.float64).reshape(-1, len(RULES))
         hold = np.array([v for good, v in second if good], np.float64).reshape(-1, len(RULES))
-        cutoffs = []
-        for r in range(len(RULES)):
-            chosen = math.inf
-            steps = np.unique(np.quantile(tune[:, r], np.linspace(0.5, 1, CANDIDATES))) if len(tune) else []
-            for c in steps[::-1]:
-                lost = int((hold[:, r] > c).sum())
-                if not len(hold) or lost > limit * len(hold) or upper_bound(lost, len(hold), level) > limit:
-                    break
-                chosen = float(c)
-            cutoffs.append(chosen)
-        out[s] = cutoffs
+        steps = [np.unique(np.quantile(tune[:, r], np.linspace(0.5, 1, CANDIDATES))) if len(tune) else np.zeros(0) for r in range(len(RULES))]
+        out[s] = [_last_passing(x, [int((hold[:, r] > c).sum()) for c in x], len(hold), limit, level) for r, x in enumerate(steps)]
+    return out
+
+
+def _candidates(tune: DataFrame, scratch: Scratch) -> dict[str | None, list[np.ndarray]]:
+    """For each stratum of tune(stratum, r_*) and each rule the different ones among CANDIDATES exact quantiles, ascending.
+
+    Different values are counted, range partitioned and moved up by the counts of the partitions before, so neither a
+    stratum nor a frequent value meets in one task.
+    """
+    order = ["stratum", "rule", "value"]
+    long = tune.select("stratum", F.posexplode(F.array(*[f"r_{r}" for r in RULES])).alias("rule", "value"))
+    counted = scratch.save(long.groupBy(*order).agg(F.count("*").alias("k")))
+    placed = scratch.save(counted.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.sum("k").alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    through = F.sum("k").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = scratch.save(placed.withColumn("through", through).join(F.broadcast(starts), "part").select(*order, "k", (F.col("start") + F.col("through")).alias("end")))
+    wanted = {}
+    for g in ranked.groupBy("stratum", "rule").agg(F.min(F.col("end") - F.col("k")).alias("first"), F.sum("k").alias("size")).collect():  # strata x rules
+        at = np.linspace(0.5, 1, CANDIDATES) * (g["size"] - 1)
+        wanted[g.stratum, g.rule] = (g["first"] + np.floor(at).astype(int), g["first"] + np.ceil(at).astype(int), at - np.floor(at))
+    ranks = [(s, r, sorted({int(n) for n in (*lo, *hi)})) for (s, r), (lo, hi, _) in wanted.items()]
+    types = T.StructType([T.StructField("of", STR), T.StructField("by", INT), T.StructField("ranks", T.ArrayType(LONG))])
+    shared = F.broadcast(tune.sparkSession.createDataFrame(ranks, types))  # a row per stratum and rule
+    met = ranked.join(shared, ranked.stratum.eqNullSafe(shared["of"]) & (ranked.rule == shared["by"]))
+    hit = F.filter("ranks", lambda n: (n < F.col("end")) & (n >= F.col("end") - F.col("k")))
+    value = {n: r.value for r in met.select("value", hit.alias("hit")).where(F.size("hit") > 0).collect() for n in r.hit}  # 2 * CANDIDATES each
+    out = defaultdict(lambda: [np.zeros(0)] * len(RULES))
+    for (s, r), (lo, hi, part) in wanted.items():
+        a, b = (np.array([value[int(n)] for n in x]) for x in (lo, hi))
+        out[s][r] = np.unique(a + (b - a) * part)
+    return out
+
+
+def cutoffs(known: DataFrame, scratch: Scratch, risk: float = RISK, delta: float = DELTA) -> dict[str | None, list[float]]:
+    """Cutoffs by stratum and rule from all rows of a saved known(h, stratum, quality, r_*); the driver sees numbers for each stratum and rule."""
+    strata = [r.stratum for r in known.select("stratum").distinct().collect()]
+    limit, level = _levels(len(strata), risk, delta)
+    steps = _candidates(known.where("h % 2 = 0"), scratch)
+    rows = [(s, *[[float(c) for c in x] for x in steps[s]]) for s in strata]
+    types = T.StructType([T.StructField("of", STR), *[T.StructField(f"s_{r}", T.ArrayType(DBL)) for r in RULES]])
+    shared = F.broadcast(known.sparkSession.createDataFrame(rows, types))  # a row per stratum
+    good = known.where("h % 2 = 1 AND quality <> 0").join(shared, known.stratum.eqNullSafe(shared["of"]))
+    under = lambda steps, x: F.size(F.filter(steps, lambda c: c < x))
+    above = F.array(*[under(f"s_{r}", F.col(f"r_{r}")) for r in RULES])
+    hits = good.select("stratum", F.posexplode(above).alias("rule", "above")).groupBy("stratum", "rule", "above").count().collect()
+    found = defaultdict(Counter)
+    for h in hits:
+        found[h.stratum, h.rule][h.above] += h["count"]
+    out = {}
+    for s in strata:
+        out[s] = [_last_passing(x, [sum(k for j, k in found[s, r].items() if j > i) for i in range(len(x))], sum(found[s, r].values()), limit, level) for r, x in enumerate(steps[s])]
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, fit_docs: int = FIT_DOCS, scratch: Scratch | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, scratch: Scratch | None = None) -> DataFrame:
     """A row per row of documents(doc_id, text, lang) with its statistics, base_failed, failed_rules and kept.
 
     labels(doc_id, quality) marks good (1) and bad (0) documents. base_failed: fewer than 50 words, or more than
@@ -148,10 +209,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     stats = with_rules(scratch.save(document_stats(docs)))
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    chosen = F.broadcast(marked.orderBy(F.xxhash64("id"), "id").limit(fit_docs))
-    known = stats.join(chosen, stats.doc_id == chosen.id).select(F.abs(F.xxhash64("id", F.lit(3)) % 1024).alias("h"), "stratum", "quality", *[f"r_{r}" for r in RULES])
-    cutoffs = choose_cutoffs([(r[0], r[1], r[2], tuple(r[3:])) for r in known.limit(2 * fit_docs).collect()], risk, delta)
-    rows = [(s, *map(float, c)) for s, c in cutoffs.items()] or [("", *[math.inf] * len(RULES))]
+    own = stats.select("doc_id", "stratum", *[f"r_{r}" for r in RULES]).where("doc_id IS NOT NULL")
+    known = own.join(marked, own.doc_id == marked.id).select(F.abs(F.xxhash64("id", F.lit(3)) % 1024).alias("h"), "stratum", "quality", *[f"r_{r}" for r in RULES])
+    found = cutoffs(scratch.save(known), scratch, risk, delta)
+    rows = [(s, *map(float, c)) for s, c in found.items()] or [("", *[math.inf] * len(RULES))]
     limits = docs.sparkSession.createDataFrame(rows, fields(limit_stratum=STR, **{f"c_{r}": DBL for r in RULES}))
     met = stats.join(F.broadcast(limits), stats.stratum.eqNullSafe(limits.limit_stratum), "left")  # a row per stratum of the sample
     failed = F.filter(F.array(*[F.when(F.col(f"r_{r}") > F.col(f"c_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
