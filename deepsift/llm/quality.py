@@ -209,7 +209,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     stats = with_rules(scratch.save(document_stats(docs)))
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    own = stats.select("doc_id", "stratum", *[f"r_{r}" for r in RULES]).where("doc_id IS NOT NULL")
+    # equal rows of a doc_id count once: copies prove nothing
+    own = stats.select("doc_id", "stratum", *[f"r_{r}" for r in RULES]).where("doc_id IS NOT NULL").distinct()
     known = own.join(marked, own.doc_id == marked.id).select(F.abs(F.xxhash64("id", F.lit(3)) % 1024).alias("h"), "stratum", "quality", *[f"r_{r}" for r in RULES])
     found = cutoffs(scratch.save(known), scratch, risk, delta)
     rows = [(s, *map(float, c)) for s, c in found.items()] or [("", *[math.inf] * len(RULES))]

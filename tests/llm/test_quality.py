@@ -35,3 +35,15 @@ def test_all_labels_count_and_a_minority_gets_cutoffs(spark):
     failed = {r.stratum: r.n for r in got.where(F.array_contains("failed_rules", "symbols")).groupBy("stratum").agg(F.count("*").alias("n")).collect()}
     want = {r.lang: r.n for r in docs.where("text LIKE '#%'").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     assert failed == want
+
+
+def test_copies_of_a_labelled_document_count_once(spark):
+    """A good document with symbols, a quarter of all rows and in the holdout, does not undo the rule that rejects the bad ones."""
+    n = F.col("id")
+    bad = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    docs = spark.range(30_000).select(n.alias("doc_id"), F.when(bad, "# # # some words").otherwise("some plain words of a text").alias("text"), F.lit("en").alias("lang"))
+    odd = spark.range(30_000).where(~bad).where(F.abs(F.xxhash64("id", F.lit(3))) % 2 == 1).agg(F.min("id")).first()[0]
+    hot = spark.range(10_000).select(F.lit(odd).cast("long").alias("doc_id"), F.lit("# # # # a good one").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(30_000).select(n.alias("doc_id"), (~bad).cast("int").alias("quality"))
+    got = quality.judge(docs.unionByName(hot), labels).where("doc_id <> %d" % odd)
+    assert got.where(F.array_contains("failed_rules", "symbols")).count() == docs.where("text LIKE '#%'").count() > 0
