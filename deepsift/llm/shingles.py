@@ -82,13 +82,13 @@ def _node(words: list[bytes]) -> int:
 
 
 def _nodes(batches):
-    for b in slices(batches):
+    for b in slices(batches, 64):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(words_of(t)) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "h", "id"])
 
 
 def _keyed(batches):
     seen: set[int] = set()  # copies need their keys once; forgetting some only repeats rows
-    for b in slices(batches):
+    for b in slices(batches, 64):
         some = {}
         for words in map(words_of, b.column(0).to_pylist()):
             if words and (i := _node(words)) not in seen:
@@ -109,6 +109,7 @@ def _alike(batches):
                 last, own = u, shingles(words_of(a))
             hit.append(alike(own, shingles(words_of(t))))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
+    pa.default_memory_pool().release_unused()  # pairs are wide; the worker stays for later stages
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,20 +179,22 @@ def keep_first(docs: DataFrame, scratch: Scratch | None = None, small: int = SMA
     keyed = scratch.save(docs.select(text).mapInArrow(_keyed, fields(key=LONG, id=LONG)))
 
     def row_of(wanted: DataFrame, *columns) -> DataFrame:
-        """The rows of documents that wanted(doc_id, h) names."""
-        own = docs.select(F.col("doc_id").cast("long").alias("__id"), h.alias("__h"), *columns)
-        return own.join(wanted, F.col("__id").eqNullSafe(wanted.doc_id) & (F.col("__h") == wanted.h))
+        """The rows of documents that wanted(__doc, __hash) names."""
+        own = docs.select(*columns, F.col("doc_id").cast("long").alias("__id"), h.alias("__h"))
+        return own.join(wanted, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__h") == F.col("__hash")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(classes, "id").select("id", "first.doc_id", "first.h")
+        wanted = ids.join(classes, "id").select("id", F.col("first.doc_id").alias("__doc"), F.col("first.h").alias("__hash"))
         return row_of(wanted, text).select("id", "text").dropDuplicates(["id"])
 
     roots = scratch.save(components(links(keyed, texts_of, scratch, small), scratch))
     rooted = classes.join(roots, classes.id == roots.node, "left").select(F.coalesce("root", "id").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
     copies = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
-    kept = scratch.save(kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.h == copies.h)).select(kept.doc_id.alias("doc_id"), kept.h.alias("h"), "n"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    once = row_of(kept.where("n = 1"), whole).select("__row")
-    again = row_of(kept.where("n > 1"), whole).groupBy("__id", "__h").agg(F.first("__row").alias("__row")).select("__row")
-    return once.unionByName(again).select("__row.*")
+    met = kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.h == copies.h))
+    kept = scratch.save(met.select(kept.doc_id.alias("__doc"), kept.h.alias("__hash"), "n"))
+    own = [docs[c] for c in docs.columns]
+    once = row_of(kept.where("n = 1"), *own).select(*docs.columns)
+    whole = F.struct(*docs.columns).alias("__row")
+    again = row_of(kept.where("n > 1"), *own).groupBy("__id", "__h").agg(F.first(whole).alias("__row")).select("__row.*")
+    return once.unionByName(again)
