@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,14 +95,20 @@ def _cluster(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c
 
 
+def _each(languages: int, fit_docs: int = FIT_DOCS) -> int:
+    """Documents of each of so many languages."""
+    return min(fit_docs, max(2, FIT_ALL // max(1, languages)))
+
+
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     """From (text, language) of a bounded sample."""
     rows = sorted((t, g) for t, g in rows if has_letter(t))
     languages = sorted({g for _, g in rows})
     if not rows:
         return LanguageModel([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    each = max(2, FIT_ALL // len(languages))
-    rows = [r for g in languages for r in [x for x in rows if x[1] == g][:each]]
+    each = _each(len(languages))
+    by_hash = sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))
+    rows = sorted((r for g in languages for r in [x for x in by_hash if x[1] == g][:each]), key=lambda r: (r[1], r[0]))
     counts = np.stack([grams(t) for t, _ in rows])
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
     x, of = weigh(counts, idf), np.array([languages.index(g) for _, g in rows])
@@ -120,7 +127,8 @@ def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
     # A language with many rows is thinned by hash before its rows meet; four times what is needed is left.
     sizes = F.broadcast(known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * fit_docs / F.count("*")).alias("share")))  # a row per language
     some = known.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= fit_docs)
+    each = _each(known.select("lang").distinct().count(), fit_docs)
+    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= each)
     chosen = chosen.select("id").distinct()
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> 'und'").join(F.broadcast(chosen), docs.doc_id == chosen.id)
     return fit([(r.text, r.lang) for r in rows.select("text", "lang").toLocalIterator()])
