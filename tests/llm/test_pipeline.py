@@ -87,3 +87,50 @@ def test_near_duplicates_stage(spark):
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r[0], r[1]) for r in brute_kept(rows))
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def test_lines_stage(spark):
+    """A line of 10 characters or more stays in the document with the smallest doc_id only; n_chars follows."""
+    rng = random.Random(4)
+    pool = [f"a shared line number {i}" for i in range(20)] + ["short", ""]
+    texts = ["\n".join([rng.choice(pool), f"own line of document {i}", rng.choice(pool).upper()]) for i in range(60)]
+    rows = [(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)]
+    owner = {}
+    for i, t in enumerate(texts):
+        for x in t.lower().split("\n"):
+            if len(x) >= 10:
+                owner.setdefault(x, i)
+    kept = ["\n".join(x for x in t.split("\n") if owner.get(x.lower(), i) == i) for i, t in enumerate(texts)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "")
+    assert sorted(map(tuple, got.collect())) == [(i, t, "en", "s1", len(t)) for i, t in enumerate(kept)]
+
+
+def test_language_stage(spark):
+    """Each row decides for itself by the model's verdict on its text; nothing else changes."""
+    from deepsift.llm import langid
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(30)), "xx", "s1", 1) for i in range(100)]
+    rows += [(7, "12 34 !?", None, "s1", 1), (None, rows[3][1], None, "s1", 1), (8, None, None, "s1", 1), (9, "ЖЖЖ ЩЩЩ ЮЮЮ", None, "s1", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.learn(docs)
+    want = Counter(r for r in rows if not model.predict([r[1]])[0][2])
+    assert Counter(map(tuple, corpus_pipeline.language(spark, docs, "").collect())) == want and sum(want.values()) == 101
+
+
+def test_mixture_stage_and_run(spark, tmp_path):
+    """Each document comes as often as the mixture's plan takes it, and run() is its stages one after the other."""
+    from deepsift.llm import mixing
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", f"w{i}"]) for _ in range(rng.randint(20, 60))), "xx", f"s{i % 7 % 3}", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = Counter({r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.taken})
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in got) == want and {tuple(r) for r in got} <= set(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    step = docs
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, str(tmp_path))
+    pieces = lambda df: Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert pieces(corpus_pipeline.run(spark, str(tmp_path))) == pieces(step) != Counter()
