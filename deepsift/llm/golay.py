@@ -1,4 +1,4 @@
-"""The perfect binary Golay code [23, 12, 7], vectorised: nearest codewords and fuzzy keys."""
+"""The perfect binary Golay code [23, 12, 7], vectorised: nearest codewords and fuzzy keys, hard and soft."""
 
 from __future__ import annotations
 
@@ -57,3 +57,38 @@ def fuzzy_keys(words: np.ndarray, width: int) -> np.ndarray:
     keys = np.sort(index(words[:, None] ^ flips), axis=1)
     keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = -1
     return keys
+
+
+def _signs() -> np.ndarray:
+    """The 4,096 codewords as rows of -1 and 1, the lowest bit first."""
+    words = np.arange(1 << 12, dtype=np.int64) << CHECKS
+    codes = words | np.array([_remainder(int(w)) for w in words])
+    return ((codes[:, None] >> np.arange(LENGTH) & 1) * 2 - 1).astype(np.float32)
+
+
+SIGNS = _signs()
+_PLACES = 1 << np.arange(LENGTH)
+
+
+def soft_keys(sums: np.ndarray, flips: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of LENGTH signed sums the indices of ``keep`` near codewords, nearest first, and their agreement.
+
+    A bit is the sign of its sum, and the sum's size is how sure it is. The words that differ in any of the
+    ``flips`` least sure bits are decoded (Chase's way); their codewords are ranked by the sum of what agrees less
+    what does not. Where fewer than ``keep`` different ones are found, the rest has an agreement of -inf.
+    """
+    size = np.abs(sums)
+    word = (sums > 0) @ _PLACES
+    unsure = np.argpartition(size, flips, axis=1)[:, :flips] if flips < LENGTH else np.argsort(size, axis=1)
+    masks = np.zeros((len(sums), 1), np.int64)
+    for i in range(flips):
+        masks = np.concatenate([masks, masks ^ (1 << unsure[:, i, None])], axis=1)
+    codes = index(word[:, None] ^ masks)
+    worth = np.einsum("nd,nkd->nk", sums, SIGNS[codes])
+    rows = np.arange(len(sums))
+    found, agreed = np.zeros((len(sums), keep), np.int64), np.full((len(sums), keep), -np.inf, np.float32)
+    for i in range(keep):
+        at = worth.argmax(axis=1)
+        found[:, i], agreed[:, i] = codes[rows, at], worth[rows, at]
+        worth[codes == found[:, i, None]] = -np.inf
+    return found, agreed

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from deepsift.llm import common, shingles
+from deepsift.llm import common, neartexts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -77,7 +77,7 @@ def brute_kept(rows):
 def test_near_duplicates(spark, small):
     rows = near_rows()
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    got = shingles.keep_first(docs, common.Scratch(spark, "t"), small).collect()
+    got = neartexts.keep_first(docs, common.Scratch(spark, "t"), small).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in brute_kept(rows))
 
 
