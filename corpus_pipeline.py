@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deepsift.llm import langid, linededup, mixing, packing, shingles
+from deepsift.llm import langid, linededup, mixing, neartexts, packing
 from deepsift.llm.common import Scratch, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,7 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group stays; texts are linked from a five-word Jaccard of 0.8 on."""
-    return shingles.keep_first(docs, Scratch(spark, "near"))
+    return neartexts.keep_first(docs, Scratch(spark, "near"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
