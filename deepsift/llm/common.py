@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +137,18 @@ def fields(**types: T.DataType) -> T.StructType:
 TOGETHER = 512
 
 
-def slices(batches: Iterable, rows: int = TOGETHER) -> Iterable:
-    """Arrow batches in slices of at most ``rows`` rows, without a copy."""
-    return (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))
+def slices(batches: Iterable, rows: int = TOGETHER, by_bytes: int | None = None) -> Iterable:
+    """Arrow batches in slices of at most ``rows`` rows, without a copy.
+
+    With ``by_bytes``, the last column's texts of a slice have so many bytes in all, or the slice is one row.
+    """
+    for b in batches:
+        if by_bytes is None:
+            yield from (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+            continue
+        through = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo, before = 0, 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(through, before + by_bytes, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo, before = hi, int(through[hi - 1])

@@ -9,7 +9,9 @@ class by distributed numbering; a table of a few thousand rows maps class and ra
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -29,19 +31,43 @@ UNIT, FINE, FINE_STEPS = 8, 256, 64
 END_ID = 2
 #: A word's ids are kept while it is among the last so many to twice as many different words of a Python worker.
 CACHE_WORDS = 250_000
+#: Texts of so many bytes in all are split into words at once.
+TOGETHER_BYTES = 1 << 20
 #: New words are encoded in texts of so many words.
 JOINED = 256
 _CACHES: dict[str, "_Words"] = {}
-#: A word of its own that stands between joined words; a word that holds it is encoded alone.
-_MARK = "\x01"
+#: A lower-cased word that no step before the merges changes or splits but between letters and marks.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: So many runs of marks are kept.
+CACHE_MARKS = 50_000
+
+
+def _lean(path: str, tokenizer):
+    """A tokenizer with the same merges for words of letters alone, and which ids end a word; None where the file's steps are others."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    told = json.loads(tokenizer.to_str())
+    steps = lambda x: [y["type"] for y in (x or {}).get("normalizers") or (x or {}).get("pretokenizers") or [x] if y]
+    suffix = told["model"].get("end_of_word_suffix")
+    if steps(told["normalizer"]) != ["NFC", "Replace", "Lowercase"] or steps(told["pre_tokenizer"]) != ["Split", "ByteLevel"] or not suffix:
+        return None
+    out = Tokenizer.from_file(path)
+    out.normalizer = normalizers.Sequence([])
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+    return out, ends
 
 
 class _Words:
     """From a white-space-free piece of text, lower-cased A-Z, to its ids as little-endian 32-bit numbers.
 
     Exact for tokenizers that split at white space, fold case and merge within what is left (word_bpe_49k).
-    Words live in two generations: when the young one is full it becomes the old one, and words met again move
-    over, so frequent words are never forgotten and memory is bounded.
+    Words of Latin letters and marks behind them are merged without the steps that cannot change them, letters and
+    marks apart, as the tokenizer parts them; any other word is encoded as it stands. Words live in two generations:
+    when the young one is full it becomes the old one, and words met again move over, so frequent words are never
+    forgotten and memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -49,35 +75,40 @@ class _Words:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would only hold memory
         self.tokenizer = Tokenizer.from_file(path)
+        self.lean = _lean(path, self.tokenizer)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.marks: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[bytes]) -> None:
         """Make all of ``words`` young, encoding what neither generation knows."""
         if len(self.young) >= CACHE_WORDS:
             self.old, self.young = self.young, {}
-        own, joined = _MARK.encode(), []
-        for w in words:
-            if w not in self.young:
-                if (ids := self.old.get(w)) is not None:
-                    self.young[w] = ids
-                elif self.mark is None or own in w:
-                    self.young[w] = self.encode(w)
-                else:
-                    joined.append(w)
-        for lo in range(0, len(joined), JOINED):
-            part = joined[lo : lo + JOINED]
-            text = f" {_MARK} ".join(w.decode() for w in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.mark)).tolist(), 4 * len(ids)]
-            if len(ends) != len(part):
+        if len(self.marks) >= CACHE_MARKS:
+            self.marks = {"": b""}
+        new, letters, tails = [], [], []
+        for w in words.difference(self.young):
+            if (ids := self.old.get(w)) is not None:
+                self.young[w] = ids
+            elif self.lean and (parts := _PLAIN.fullmatch(w.decode().lower())):
+                behind = parts[2]
+                if behind not in self.marks:
+                    self.marks[behind] = self.encode(behind.encode())
+                new.append(w)
+                letters.append(parts[1])
+                tails.append(self.marks[behind])
+            else:
+                self.young[w] = self.encode(w)
+        for lo in range(0, len(new), JOINED):
+            part = slice(lo, lo + JOINED)
+            lean, ends = self.lean
+            ids = np.array(lean.encode_batch_fast([" ".join(letters[part])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cuts) != len(new[part]):
                 raise RuntimeError("the tokenizer doesn't keep words apart")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                self.young[w] = raw[at:end]
-                at = end + 4
+            raw = ids.tobytes()
+            for w, tail, start, end in zip(new[part], tails[part], [0, *cuts], cuts, strict=False):
+                self.young[w] = raw[start:end] + tail
 
     def encode(self, text: bytes) -> bytes:
         return pack_ids(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
@@ -97,14 +128,12 @@ def words_of(path: str) -> _Words:
     return _CACHES[path]
 
 
-def token_bytes(text: bytes | None, words: _Words) -> bytes:
-    """A document's ids and the end id, 4 bytes each, its words learnt before. Texts with a special token's string are not folded by word."""
-    text = text or b""
-    if b"<|" in text:
-        body = words.encode(text)
-    else:
-        body = words.ids(text.lower().split())
-    return body + END_ID.to_bytes(4, "little")
+def token_bytes(texts: list[bytes | None], words: _Words) -> list[bytes]:
+    """Each document's ids and the end id, 4 bytes each. Texts with a special token's string are not folded by word."""
+    split = [None if t and b"<|" in t else (t or b"").lower().split() for t in texts]
+    words.learn(set().union(*(x for x in split if x)))
+    end = END_ID.to_bytes(4, "little")
+    return [(words.encode(t) if x is None else words.ids(x)) + end for t, x in zip(texts, split, strict=True)]
 
 
 PIECES = fields(doc_id=LONG, start=LONG, length=LONG, ids_crc32=LONG, doc_tokens=LONG)
@@ -115,12 +144,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         words = words_of(tokenizer)
-        for b in slices(batches):
+        for b in slices(batches, by_bytes=TOGETHER_BYTES):
             rows = []
-            texts = b.column(1).to_pylist()
-            words.learn(set().union(*(x.lower().split() for x in texts if x and b"<|" not in x)))
-            for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
-                ids = token_bytes(t, words)
+            for i, ids in zip(b.column(0).to_pylist(), token_bytes(b.column(1).to_pylist(), words), strict=True):
                 n = len(ids) // 4
                 for s in range(0, n, length):
                     part = ids[4 * s : 4 * (s + length)]
