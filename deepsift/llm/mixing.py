@@ -14,8 +14,8 @@ import math
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import DBL, INT, LONG, STR, Scratch, fields
@@ -90,34 +90,58 @@ def landing(prob: np.ndarray, size: np.ndarray, rest: float) -> np.ndarray:
     return out
 
 
-def _walk(seed: int, level: int, names: list[str]):
-    def run(group):
-        order = pd.util.hash_array(group["doc_id"].fillna(-1).to_numpy(np.int64) * 31 + level)
-        group = group.assign(_o=order).sort_values(["_o", "doc_id", "size"], kind="stable", ignore_index=True)
-        rng = np.random.default_rng([seed, level, int(group["_o"].iloc[0] & 0x7FFFFFFF), len(group)])
-        prob, size = group["more"].to_numpy(np.float64), group["size"].to_numpy(np.float64)
-        last = group["_last"].iloc[0]
+def _walk(seed: int, level: int):
+    def run(group: pa.Table) -> pa.Table:
+        h, k = (group.column(c).to_numpy().view(np.uint64) for c in ("text_hash", "k"))
+        order = np.lexsort((k, h, (h ^ (k * _ODD) ^ np.uint64(level)) * _ODD))
+        group = group.take(pa.array(order))
+        prob, size = (group.column(c).to_numpy().astype(np.float64) for c in ("more", "size"))
+        rng = np.random.default_rng([seed, level, int(h[order[0]] & np.uint64(0x7FFFFFFF)), len(order)])
+        last = group.column("_last")[0].as_py()
         out = flight(prob, size, rng, LAST if last else 2)
         if last:
             # earlier rounds keep the source's expected sum, so what this block has to reach is its own
             out = landing(out, size, float((prob * size).sum() - (size * (out == 1)).sum()))
-        return group.assign(more=out)[names]
+        at = group.schema.get_field_index("more")
+        return group.set_column(at, "more", pa.array(out, pa.float64())).select(WALK.names)
 
     return run
 
 
+#: Rows equal in all are numbered in runs of so many.
+RUN = 100_000
+WALK = fields(doc_id=LONG, source=STR, text_hash=LONG, k=LONG, size=LONG, source_size=LONG, target=DBL, whole=INT, part=DBL, rest=DBL, n=LONG, more=DBL)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def text_hash(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: a hash of doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text_hash, size and k: rows equal in all are counted, then numbered, so none depends on where it was read."""
+    words = F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)"))
+    keys = ["doc_id", "source", "text_hash", "size"]
+    rows = docs.select("text", docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), text_hash(docs).alias("text_hash"))
+    rows = rows.select("doc_id", "source", "text_hash", words.cast("long").alias("size"))
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("m"))
+    starts = classes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(RUN).cast("long"))).alias("at"))
+    return starts.select(*keys, F.explode(F.sequence("at", F.least(F.col("at") + RUN, F.col("m")) - 1)).alias("k"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies * size) of documents(doc_id, text, source).
+    """doc_id, source, text_hash, size, source_size, target, copies and taken (copies * size) of documents(doc_id, text, source).
 
     Sizes are words; null and empty texts have none and are taken 0 words whatever their copies. Sources stand
     by code point with null last, weigh ``weights`` by turns, and share all words. Copies are at most ``cap``.
-    The same input gives the same result: the order in a block and the walk follow hashes of doc_id and size,
-    and rows equal in both are interchangeable. Other columns are ignored; an empty table returns no rows.
+    The same input gives the same result: blocks, the order in a block and the walk follow hashes of doc_id and text,
+    and rows equal in doc_id, source and text are numbered and spread. Other columns are ignored; an empty table
+    returns no rows.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
-    words = F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
-    sized = scratch.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(words, F.lit(0)).cast("long").alias("size")))
+    sized = scratch.save(_sized(docs))
     sums = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -129,19 +153,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7, block:
         plan.append((r.source, r.words, float(targets[r.source]), whole, float(rate - whole), float(targets[r.source] - whole * r.words), r.n))
     plans = spark.createDataFrame(plan, fields(plan_source=STR, source_size=LONG, target=DBL, whole=INT, part=DBL, rest=DBL, n=LONG))
     met = sized.join(F.broadcast(plans), sized.source.eqNullSafe(plans.plan_source)).drop("plan_source")  # a row per source
-    walk_columns = ["doc_id", "source", "size", "source_size", "target", "whole", "part", "rest", "n"]
-    schema = fields(doc_id=LONG, source=STR, size=LONG, source_size=LONG, target=DBL, whole=INT, part=DBL, rest=DBL, n=LONG, more=DBL)
     level, most = 0, max((r.n for r in sums), default=0)
-    now = scratch.save(met.select(*walk_columns, F.col("part").alias("more")))
+    now = scratch.save(met.select(*WALK.names[:-1], F.col("part").alias("more")))
     final = []
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(block) * (block // 4) ** level)))
         last = most <= block * (block // 4) ** level
         one = F.lit(last)
-        number = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), blocks)
-
+        number = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "text_hash", "k"), blocks)
         walked = now.where("more > 0 AND more < 1").withColumn("_b", number).withColumn("_last", one)
-        done = scratch.save(walked.groupBy("source", "_b").applyInPandas(_walk(seed, level, schema.names), schema))
+        done = scratch.save(walked.groupBy("source", "_b").applyInArrow(_walk(seed, level), WALK))
         final.append(now.where("NOT (more > 0 AND more < 1)") if level == 0 else None)
         final.append(done.where("NOT (more > 0 AND more < 1)"))
         if last:
@@ -153,4 +174,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7, block:
         if part is not None:
             out = part if out is None else out.unionByName(part)
     copies = F.least(F.lit(cap), F.col("whole") + F.col("more").cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
+    """documents(doc_id, text, source, ...), each row as often as ``mix`` with the same options takes it.
+
+    Rows equal in doc_id, source and text count as one that is taken as often as they are together. Null and empty
+    texts are taken like any other of their source. Other columns stay, whatever their names; an empty table
+    returns no rows. Whole rows move once, to meet their count.
+    """
+    scratch, names = scratch or Scratch(docs.sparkSession, "mixed"), docs.columns
+    plan = mix(docs, scratch=scratch, **options).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("times"), F.count("*").alias("rows"))
+    plan = scratch.save(plan.where("times > 0").toDF("p_id", "p_source", "p_hash", "times", "rows"))
+    own = [docs[c].alias(f"c{i}") for i, c in enumerate(names)]
+    rows = docs.select(*own, docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("of"), text_hash(docs).alias("h"))
+    plain = [f"c{i}" for i in range(len(names))]
+
+    def met(plan: DataFrame) -> DataFrame:
+        return rows.join(plan, (rows.h == plan.p_hash) & rows.id.eqNullSafe(plan.p_id) & rows["of"].eqNullSafe(plan.p_source))
+
+    out, several = met(plan.where("rows = 1")).select(*plain, "times"), plan.where("rows > 1")
+    if not several.isEmpty():
+        again = met(several).groupBy("p_id", "p_source", "p_hash").agg(F.first(F.struct(*plain)).alias("row"), F.first("times").alias("times"))
+        out = out.unionByName(again.select("row.*", "times"))
+    return out.select(*plain, F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*plain).toDF(*names)
