@@ -6,7 +6,6 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from deepsift.llm import langid, linededup, mixing, neartexts, packing
 from deepsift.llm.common import Scratch, slices, table
@@ -14,11 +13,6 @@ from deepsift.llm.common import Scratch, slices, table
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows that share a doc_id told apart by ``__k``."""
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a letter and is near enough to some language's centroid; a row decides for itself."""
     model = langid.learn(docs)
@@ -47,12 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
-    scratch = Scratch(spark, "mixture")
-    plan = mixing.mix(docs, scratch=scratch).select("doc_id", "size", "copies")
-    plan = scratch.save(_numbered(plan, ["size", "copies"]).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__k").alias("__j"), "copies"))
-    own = _numbered(docs, [F.size(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")), F.xxhash64("text")])
-    met = own.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__j")))
-    return met.select(*[met[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), plan["copies"])).alias("__copy")).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
