@@ -1,15 +1,18 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Token weights are log-odds with an informative Dirichlet prior between labelled toxic and other documents
-(Monroe, Colaresi and Quinn, "Fightin' Words"); a token counts only as far as its z-score carries it. A scan in
-linear time (Ruzzo and Tompa) finds all maximal-scoring segments of a document. Their scores follow an
-extreme-value law (Karlin and Altschul): with lambda and K of the background of other documents, a document of
-n tokens has a segment of score S or more by chance with probability 1 - exp(-K n exp(-lambda S)). A document's
-evidence is summed over its significant segments and turned into a probability by a logistic fit.
+Token scores are log-odds with an informative Dirichlet prior between labelled toxic and other documents (Monroe,
+Colaresi and Quinn, "Fightin' Words"), for and against, each as far as its z-score carries it; a token that tells
+nothing costs the drift. A scan in linear time (Ruzzo and Tompa) finds all maximal-scoring segments of a document. Their scores follow an
+extreme-value law (Karlin and Altschul): a document of n tokens has a segment of score S or more by chance with
+probability 1 - exp(-K n exp(-lambda S)). Lambda solves the law's equation for the token scores of other documents,
+K is the likeliest for those documents' best segments; neither sees the documents that the scores were learnt from.
+Segments with a chance under LEVEL are passages. A document's evidence is summed over its segments and turned into
+a probability by a logistic fit.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, INT, LONG, fields
+from .common import DBL, INT, LONG, fields, slices
 
 #: The model is fitted on so many labelled documents at most, by a hash of doc_id.
 FIT_DOCS = 10_000
@@ -31,6 +34,8 @@ CACHE_WORDS = 500_000
 #: Mass of the Dirichlet prior, dealt out by a token's share of the corpus, and the least for any token.
 PRIOR, PRIOR_LEAST = 500.0, 0.5
 Z_LEAST = 3.2
+#: A segment is a passage if its chance is under this; it adds to the evidence if its chance is under a half.
+LEVEL = 0.01
 _TRIM = b".,;:!?|()[]{}\"'*$%&#<>-_"
 
 
@@ -59,7 +64,7 @@ class _Known(dict):
         found = [self.weights[f] for f in forms(token(word)) if f in self.weights]
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = self[word] = max(found, default=None)
+        out = self[word] = max(found, key=abs, default=None)  # the form that tells most
         return out
 
 
@@ -101,7 +106,7 @@ class ToxicModel:
         return ToxicModel, (self.weights, self.base, self.lam, self.log_k, self.logistic)
 
     def passages(self, text: bytes | None) -> tuple[int, list[tuple[int, int, float, float]]]:
-        """Tokens, and (first, past the last, score, log of the chance of it) of significant segments."""
+        """Tokens, and (first, past the last, score, log of the chance of it) of segments that chance makes in under half of such texts."""
         words, base = (text or b"").split(), self.base
         hits = [(i, s) for i, s in enumerate(map(self.known.__getitem__, words)) if s is not None]
         if not any(s > 0 for _, s in hits):
@@ -124,8 +129,19 @@ class ToxicModel:
         return len(words), out
 
     def evidence(self, text: bytes | None) -> tuple[float, int, list]:
+        """The evidence, the number of tokens, and the passages."""
         n, found = self.passages(text)
-        return sum(-p for *_, p in found), n, found
+        return sum(-p for *_, p in found), n, [x for x in found if x[3] < math.log(LEVEL)]
+
+    def best(self, text: bytes | None) -> tuple[int, float]:
+        """Tokens, and the score of the best segment."""
+        words, low = (text or b"").split(), self.base
+        total = least = most = 0.0
+        for x in map(self.known.__getitem__, words):
+            total += low if x is None else x
+            least = min(least, total)
+            most = max(most, total - least)
+        return len(words), most
 
     def score(self, evidence: float) -> float:
         x = self.logistic[0] + self.logistic[1] * min(evidence, 200.0)
@@ -144,9 +160,9 @@ def _lambda(weights: np.ndarray, share: np.ndarray) -> float:
     return hi
 
 
-def _sketch(words: list[str]) -> int:
-    """The least hash of a word pair: mostly the same for near copies."""
-    return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)), default=0)
+def _sketch(words: list[str]) -> tuple[int, ...]:
+    """The three least hashes of word pairs: mostly the same for near copies, and for them alone."""
+    return tuple(heapq.nsmallest(3, {zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:], strict=False)}))
 
 
 def fit(rows: list[tuple[bytes | None, int]]) -> ToxicModel:
@@ -162,7 +178,6 @@ def fit(rows: list[tuple[bytes | None, int]]) -> ToxicModel:
         if (mark := (_sketch(words), y)) not in seen:
             seen.add(mark)
             counts[y].update({f for w in set(words) for f in forms(w)})
-    held = counts[0] + counts[1]
     model = ToxicModel()
     sums = [sum(c.values()) for c in counts]
     if not all(sums):
@@ -170,34 +185,33 @@ def fit(rows: list[tuple[bytes | None, int]]) -> ToxicModel:
     whole = counts[0] + counts[1]
     total, z = sum(whole.values()), {}
     for w, c in whole.items():
-        if held[w] < 3:
+        if c < 3:
             continue
         prior = PRIOR_LEAST + PRIOR * c / total
         a, b = counts[1][w] + prior, counts[0][w] + prior
         log_odds = math.log(a / (sums[1] + PRIOR - a)) - math.log(b / (sums[0] + PRIOR - b))
         score = log_odds / math.sqrt(1 / a + 1 / b)
-        if score >= Z_LEAST:
-            z[w] = (score, log_odds * (1 - Z_LEAST / (score + 1e-9)))
+        if abs(score) >= Z_LEAST:
+            z[w] = (abs(score), log_odds * (1 - Z_LEAST / (abs(score) + 1e-9)))
     best = sorted(z, key=lambda w: (-z[w][0], w))[:VOCABULARY]
-    model.weights = {w: min(z[w][1], 6.0) for w in best if z[w][1] > 0.05}
+    model.weights = {w: max(-6.0, min(z[w][1], 6.0)) for w in best if abs(z[w][1]) > 0.05}
+    if not any(x > 0 for x in model.weights.values()):
+        model.weights = {}
     model.known = _Known(model.weights)
     if not model.weights:
         return model
-    # the background's drift is negative enough for an extreme-value law, whatever the weights
-    share = np.array([counts[0][w] for w in model.weights], np.float64) / sums[0]
-    weight = np.array(list(model.weights.values()))
-    gain = float((share * weight).sum())
-    model.base = -max(0.05, 3 * gain)
-    values, parts = np.append(weight, model.base), np.append(np.maximum(share, 1e-7), 1 - share.sum())
-    model.lam = _lambda(values, parts)
-    # K from the other documents: their best segments should be as likely as observed on average
-    best_of = []
-    for text, y in docs:
-        if not y and (words := text.split()):
-            n, s = len(words), max((v for v in map(model.known.__getitem__, words) if v is not None), default=0.0)
-            best_of.append(math.exp(-model.lam * s) * n if s else n)
-    model.log_k = -math.log(max(1e-9, float(np.mean(best_of)))) if best_of else math.log(0.1)
     test = docs[3::4] if len(docs) >= 40 else docs
+    clean = [text for text, y in test if not y] or [text for text, y in docs if not y]
+    scores = Counter(x for text in clean for x in map(model.known.__getitem__, text.split()))
+    n = max(1, sum(scores.values()))
+    told = [x for x in scores if x is not None]
+    # the drift makes the mean of other documents' token scores negative enough for an extreme-value law
+    model.base = -max(0.05, 3 * sum(x * scores[x] for x in told if x > 0) / n)
+    values = np.array([model.base, *told, max(model.weights.values())])
+    share = np.array([scores[None], *(scores[x] for x in told), 0.5]) / (n + 0.5)
+    model.lam = _lambda(values, share)
+    law = [(max(m, 2), math.exp(-model.lam * top)) for m, top in map(model.best, clean) if m]
+    model.log_k = math.log((len(law) + 0.5) / (sum(m * e for m, e in law) + 0.5))
     x = np.array([min(200.0, model.evidence(text)[0]) for text, _ in test])
     model.logistic = _logistic(x, np.array([y for _, y in test], np.float64))
     return model
@@ -244,7 +258,7 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             out = ([], [], [], [])
             for t in b.column(1).to_pylist():
                 e, n, found = m.evidence(t)
