@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -18,11 +19,13 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode, else an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="deepsift-"))
             held = spark.sparkContext.getCheckpointDir()
         place = held
@@ -36,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.held: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -43,13 +47,20 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.held[path] = out
         return out
 
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these, which a result still reads."""
+        left = {t._scratch_path for t in tables}
+        self.drop(*[t for path, t in self.held.items() if path not in left])
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
+            self.held.pop(df._scratch_path, None)
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
 

@@ -45,20 +45,23 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_hashes(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id): the distinct keys of each row of documents(doc_id, text)."""
+    """(h1, h2, doc_id, own): the distinct keys of each row of documents(doc_id, text); own is a hash of the text."""
 
     def run(batches):
         for b in slices(batches):
-            ids, digests = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    own = {line_key(x, least) for x in t.split(b"\n")} - {None}
-                    digests.extend(own)
-                    ids.extend([i] * len(own))
+            found, digests = [], []
+            for t in b.column(2).to_pylist():
+                keys = {line_key(x, least) for x in t.split(b"\n")} - {None} if t else ()
+                digests.extend(keys)
+                found.append(len(keys))
             h1, h2 = _halves(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"])
+            row = pa.array(np.repeat(np.arange(len(found)), found))
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), b.column(0).take(row), b.column(1).take(row)], PROBES.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, fields(h1=LONG, h2=LONG, doc_id=LONG))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PROBES)
+
+
+PROBES = fields(h1=LONG, h2=LONG, doc_id=LONG, own=LONG)
 
 
 INDEX = fields(shard=LONG, probes=LONG, sizes=T.ArrayType(INT), bits=BIN, prints=BIN, counts=BIN, owners=BIN)
@@ -101,7 +104,7 @@ def _probe(batches):
         numbers = b.column("shard").to_numpy()
         heads = np.nonzero(b.column("probe").to_numpy(zero_copy_only=False) == 0)[0]
         cuts = np.unique(np.concatenate([[0], heads, heads + 1, np.nonzero(np.diff(numbers))[0] + 1, [len(numbers)]]))
-        ids, drops = [], []
+        ids, owns, drops = [], [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if not b.column("probe")[int(lo)].as_py():
                 shard, number = Shard(b.slice(lo, 1).to_pylist()[0]), numbers[lo]
@@ -111,17 +114,20 @@ def _probe(batches):
             part = b.slice(lo, hi - lo)
             h1, h2 = part.column("h1").to_numpy(), part.column("h2").to_numpy()
             known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            own = part.column("doc_id").fill_null(0).to_numpy()
-            lost = shard.lost(h1, h2, own, known)
+            lost = shard.lost(h1, h2, part.column("doc_id").fill_null(0).to_numpy(), known)
             ids.append(part.column("doc_id").filter(pa.array(lost)))
+            owns.append(part.column("own").filter(pa.array(lost)))
             raw = np.stack([h1[lost], h2[lost]], axis=1).tobytes()
             drops.extend(raw[i : i + 16] for i in range(0, len(raw), 16))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(drops, pa.binary())], ["doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(owns), pa.array(drops, pa.binary())], LOST.names)
+
+
+LOST = fields(doc_id=LONG, own=LONG, line=BIN)
 
 
 def lost_lines(docs: DataFrame, least: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, line): the 16-byte hashes of line keys that a document has to lose."""
+    """(doc_id, own, line): the 16-byte hashes of line keys that a text has to lose; own is its hash."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     probes = scratch.save(line_hashes(docs, least))
     distinct = scratch.save(probes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.coalesce(F.min("doc_id"), F.lit(NOBODY)).alias("owner")))
@@ -133,16 +139,16 @@ def lost_lines(docs: DataFrame, least: int = MIN_CHARS, scratch: Scratch | None
     parts = F.ceil(F.col("probes") / share).cast("int")
     hot = scratch.save(index.where(F.col("probes") > share).select("shard", parts.alias("parts")))
     hot = F.broadcast(hot)  # at most HOT rows
-    dealt = probes.select(shard, "h1", "h2", "doc_id").join(hot, "shard", "left")
+    dealt = probes.select(shard, *PROBES.names).join(hot, "shard", "left")
     salt = F.pmod(F.xxhash64("doc_id", "h1"), F.coalesce("parts", F.lit(1))).cast("int")
     arrays = [f.name for f in INDEX.fields[2:]]
-    dealt = dealt.select("shard", salt.alias("salt"), F.lit(1).alias("probe"), "h1", "h2", "doc_id", *[F.lit(None).cast(INDEX[a].dataType).alias(a) for a in arrays])
+    dealt = dealt.select("shard", salt.alias("salt"), F.lit(1).alias("probe"), *PROBES.names, *[F.lit(None).cast(INDEX[a].dataType).alias(a) for a in arrays])
     copies = F.explode(F.sequence(F.lit(0), parts - 1))
-    nothing = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "doc_id")]
+    nothing = [F.lit(None).cast("long").alias(c) for c in PROBES.names]
     heads = index.select("shard", F.when(F.col("probes") > share, parts).otherwise(1).alias("parts"), *arrays)
     heads = heads.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("probe"), *nothing, *arrays)
     met = heads.unionByName(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "probe")
-    return met.mapInArrow(_probe, fields(doc_id=LONG, line=BIN))
+    return met.mapInArrow(_probe, LOST)
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
@@ -155,13 +161,14 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, scratch: Scratch | None
     called n_lines or n_dropped are replaced. An empty table returns no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    lost = lost_lines(docs, least, scratch).groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    lost = scratch.save(lost)
+    # a list is never longer than the lines of one text, however many rows share its id
+    lost = scratch.save(lost_lines(docs, least, scratch).groupBy("doc_id", "own").agg(F.collect_set("line").alias("lines")))
+    scratch.only(lost)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text_at = names.index("text")
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     own = F.col(f"c{names.index('doc_id')}").cast("long")
-    met = plain.join(lost, own.eqNullSafe(lost.doc_id), "left").drop("doc_id")
+    met = plain.join(lost, own.eqNullSafe(lost.doc_id) & (F.xxhash64(f"c{text_at}") == lost.own), "left").drop("doc_id", "own")
 
     def run(batches):
         for b in slices(batches):

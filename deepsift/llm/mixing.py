@@ -155,7 +155,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7, block:
     met = sized.join(F.broadcast(plans), sized.source.eqNullSafe(plans.plan_source)).drop("plan_source")  # a row per source
     level, most = 0, max((r.n for r in sums), default=0)
     now = scratch.save(met.select(*WALK.names[:-1], F.col("part").alias("more")))
-    final = []
+    final, read = [], [now]
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(block) * (block // 4) ** level)))
         last = most <= block * (block // 4) ** level
@@ -164,11 +164,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7, block:
         walked = now.where("more > 0 AND more < 1").withColumn("_b", number).withColumn("_last", one)
         done = scratch.save(walked.groupBy("source", "_b").applyInArrow(_walk(seed, level), WALK))
         final.append(now.where("NOT (more > 0 AND more < 1)") if level == 0 else None)
+        read.append(done)
         final.append(done.where("NOT (more > 0 AND more < 1)"))
         if last:
             break
         now = done.where("more > 0 AND more < 1")
         level += 1
+    scratch.only(*read)
     out = None
     for part in final:
         if part is not None:
@@ -194,6 +196,7 @@ def mixed(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFra
     def met(plan: DataFrame) -> DataFrame:
         return rows.join(plan, (rows.h == plan.p_hash) & rows.id.eqNullSafe(plan.p_id) & rows["of"].eqNullSafe(plan.p_source))
 
+    scratch.only(plan)
     out, several = met(plan.where("rows = 1")).select(*plain, "times"), plan.where("rows > 1")
     if not several.isEmpty():
         again = met(several).groupBy("p_id", "p_source", "p_hash").agg(F.first(F.struct(*plain)).alias("row"), F.first("times").alias("times"))

@@ -233,6 +233,7 @@ def keep_first(docs: DataFrame, scratch: Scratch | None = None, small: int = SMA
     copies = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     met = kept.join(copies, kept.doc_id.eqNullSafe(copies.doc_id) & (kept.h == copies.h))
     kept = scratch.save(met.select(kept.doc_id.alias("__doc"), kept.h.alias("__hash"), "n"))
+    scratch.only(kept)
     once = row_of(kept.where("n = 1"), *docs.columns).select(*docs.columns)
     several = kept.where("n > 1")
     if not several.isEmpty():

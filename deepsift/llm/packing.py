@@ -278,6 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, scratch: Scratch
     ranked = scratch.save(number_rows(cut.withColumn("kind", kind.cast("int")), ["kind", "doc_id", "start", "length", "ids_crc32"], scratch, "row"))
     starts = ranked.groupBy("kind").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     held = {r.kind: (r.first, r.n) for r in starts.select("kind", F.col("first"), "n").collect()}  # a row per class
+    scratch.only(ranked)
     histogram = np.array([held.get(k, (0, 0))[1] for k in range(len(bounds))], np.int64)
     plan = layout(histogram, bounds, length)
     by_kind: dict[int, list] = {}

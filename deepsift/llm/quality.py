@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import DBL, INT, LONG, STR, Scratch, fields
+from .common import DBL, INT, LONG, STR, Scratch, fields, slices
 
 RISK, DELTA = 0.03, 0.05
 CANDIDATES = 60
@@ -70,7 +70,7 @@ def document_stats(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """The statistics of documents(doc_id, text, ``stratum``), a row each; a null text has zeros."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             columns = list(zip(*map(text_stats, b.column(2).to_pylist()), strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in columns]], STATS.names)
 
@@ -207,12 +207,14 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     table returns no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    stats = with_rules(scratch.save(document_stats(docs)))
+    saved = scratch.save(document_stats(docs))
+    stats = with_rules(saved)
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     # equal rows of a doc_id count once: copies prove nothing
     own = stats.select("doc_id", "stratum", *[f"r_{r}" for r in RULES]).where("doc_id IS NOT NULL").distinct()
     known = own.join(marked, own.doc_id == marked.id).select(F.abs(F.xxhash64("id", F.lit(3)) % 1024).alias("h"), "stratum", "quality", *[f"r_{r}" for r in RULES])
     found = cutoffs(scratch.save(known), scratch, risk, delta)
+    scratch.only(saved)
     rows = [(s, *map(float, c)) for s, c in found.items()] or [("", *[math.inf] * len(RULES))]
     limits = docs.sparkSession.createDataFrame(rows, fields(limit_stratum=STR, **{f"c_{r}": DBL for r in RULES}))
     met = stats.join(F.broadcast(limits), stats.stratum.eqNullSafe(limits.limit_stratum), "left")  # a row per stratum of the sample

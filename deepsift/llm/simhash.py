@@ -114,4 +114,5 @@ def near_duplicates(docs: DataFrame, width: int = 3, scratch: Scratch | None = N
     rooted = scratch.save(rooted)
     heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     heads = scratch.save(rooted.select("fp", "root").join(heads, "root").select("fp", "component_id"))
+    scratch.only(marked, heads)
     return marked.join(heads, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -169,6 +169,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch |
     known = scratch.save(known.join(degree, known.row == degree.id, "left").select("label", "dim", "k1", "k2", "first", "root", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     heads = known.groupBy("root").agg(F.min("first").alias("head"))
     known = scratch.save(known.join(heads, "root").select("label", "dim", "k1", "k2", "n_links", "head"))
+    scratch.only(base, known)
     one = base.select("vec_id", F.when(F.col("ok"), F.col("label")).alias("label"), "dim", "k1", "k2")
     met = one.join(known, ["label", "dim", "k1", "k2"], "left")
     head = F.coalesce("head", "vec_id")
