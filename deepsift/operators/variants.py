@@ -72,11 +72,17 @@ def _tested(df: DataFrame, p: Column, where: Column, method: str, alpha: float,
     return significant(marked, "_q", method, alpha, ntests, out=out).drop("_q")
 
 
+def _tagged(held: Column | str, found: Column) -> Column:
+    held = F.col(held) if isinstance(held, str) else held
+    own = F.when(held.isNull() | (held == "PASS") | (held == "") | held.startswith("."), F.array().cast("array<string>")).otherwise(F.split(held, ";"))
+    return F.coalesce(F.nullif(F.array_join(F.concat(own, found), ";"), F.lit("")), F.lit("PASS"))
+
+
 def filter_variants(df: DataFrame, config: FilterConfig = FilterConfig(), print_all: bool = False) -> DataFrame:
-    """Rows with their tags in ``filter``, or PASS; without print_all only those that pass.
+    """Rows with their tags added to those that ``filter`` has, PASS where there are none; without print_all only those without tags.
 
-    A row that lacks a value isn't filtered by it. Corrections rank all rows of a type, whatever other tags
-    they have or ``only`` says.
+    A filter of '.' or PASS has no tags. A row that lacks a value isn't filtered by it. Corrections rank all rows of a
+    type, whatever other tags they have or ``only`` says.
     """
     indel = is_indel("ref", "alt")
     tags: list[tuple[str, Column]] = []
@@ -109,10 +115,10 @@ def filter_variants(df: DataFrame, config: FilterConfig = FilterConfig(), print_
         df = _tested(df, p_sb, of_sb & F.col("sb").isNotNull(), config.sb_mtc, config.sb_alpha, None, "_sb")
         at(f"sb_{config.sb_mtc}", of_sb & one & F.col("_sb"))
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in tags]), lambda x: x.isNotNull()) if tags else F.array().cast("array<string>")
-    out = df.withColumn("filter", F.when(F.size(found) == 0, "PASS").otherwise(F.array_join(found, ";"))).drop("_snv", "_indel", "_sb")
+    out = df.withColumn("filter", _tagged("filter", found) if "filter" in df.columns else _tagged(F.lit("."), found)).drop("_snv", "_indel", "_sb")
     if config.only:
         out = out.where(indel if config.only == "indels" else ~indel)
-    return out if print_all else out.where("filter = 'PASS'")
+    return out if print_all else out.where(passed())
 
 
 def _side(df: DataFrame, only_passed: bool, only: str | None) -> DataFrame:

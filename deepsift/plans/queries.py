@@ -93,17 +93,110 @@ FROM hits WHERE p * {factor} < 0.01"""
 
 @query(_calls_sql("(SELECT 3 * count(*) FROM tested)"))
 def snv_call(spark, sf_dir):
-    return call.call_snvs(W.obs(spark, sf_dir))
+    return call.call_snvs(W.obs(spark, sf_dir)).drop("hqa")
 
 
 @query(_calls_sql("500"))
 def snv_call_fixed_bonf(spark, sf_dir):
-    return call.call_snvs(W.obs(spark, sf_dir), call.CallConfig(bonf=500))
+    return call.call_snvs(W.obs(spark, sf_dir), call.CallConfig(bonf=500)).drop("hqa")
 
 
 @query(_calls_sql("500", "dp >= 30"))
 def snv_call_min_cov(spark, sf_dir):
-    return call.call_snvs(W.obs(spark, sf_dir), call.CallConfig(bonf=500, min_cov=30))
+    return call.call_snvs(W.obs(spark, sf_dir), call.CallConfig(bonf=500, min_cov=30)).drop("hqa")
+
+
+_DP = """list_reduce(list_concat([list_transform(range(0, kmax + 1), lambda j: CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)], list_transform(eps, lambda e: [e])),
+    lambda acc, e: list_transform(range(0, kmax + 1), lambda j: CASE WHEN j = kmax THEN acc[j + 1] + acc[j] * e[1] WHEN j = 0 THEN acc[1] * (1 - e[1]) ELSE acc[j + 1] * (1 - e[1]) + acc[j] * e[1] END))"""
+_ERR = lambda q: f"(CASE WHEN {q} IS NULL OR {q} < 0 THEN 0.0 ELSE {_P(q)} END)"
+
+
+def _raw_calls_sql(bq: str = "bq", used: str = "bq >= 6", sq: str = "0.0", extra: str = "true") -> str:
+    """From the rule: raw counts over raw depth for what is shown, filtered ones for the test."""
+    counts = ", ".join(
+        f"count(*) FILTER (used AND nt = {i} AND nt <> ref_nt) AS n{i}, count(*) FILTER (seen AND nt = {i} AND NOT is_rev) AS f{i}, count(*) FILTER (seen AND nt = {i} AND is_rev) AS r{i}" for i in range(4)
+    )
+    pick = lambda c, of: "CASE " + of + " " + " ".join(f"WHEN {i} THEN {c}{i}" for i in range(4)) + " END"
+    pb = _ERR("q")
+    error = f"{_PM} + (1 - {_PM}) * {sq} + (1 - {_PM}) * (1 - {sq}) * {_ERR('baq')} + (1 - {_PM}) * (1 - {sq}) * (1 - {_ERR('baq')}) * {pb}"
+    return f"""WITH {W.raw_sql()}, medians AS (
+  SELECT chrom, pos, CAST(floor(quantile_cont(bq, 0.5)) AS INT) AS ref_bq FROM raw WHERE nt = ref_nt AND bq >= 3 GROUP BY chrom, pos
+), marked AS (
+  SELECT * EXCLUDE (ref_bq), coalesce(ref_bq, -1) AS ref_bq, coalesce(nt IS NOT NULL AND bq >= 3, false) AS seen, CASE WHEN nt <> ref_nt THEN {bq} ELSE bq END AS q FROM raw LEFT JOIN medians USING (chrom, pos)
+), errors AS (SELECT *, {error} AS e FROM marked
+), judged AS (SELECT *, coalesce(seen AND nt < 4 AND {used}, false) AS used FROM errors
+), cols AS (
+  SELECT chrom, pos, ref_nt, list(e ORDER BY e) FILTER (used) AS eps, count(*) AS dp, count(*) FILTER (seen) AS bases, {counts} FROM judged GROUP BY chrom, pos, ref_nt
+), tested AS (SELECT *, greatest(n0, n1, n2, n3) AS kmax FROM cols WHERE ref_nt < 4 AND greatest(n0, n1, n2, n3) > 0 AND bases >= 1 AND 2 * bases >= dp AND {extra}
+), done AS (SELECT *, {_DP} AS chances FROM tested
+), alts AS (
+  SELECT *, {pick("n", "alt_nt")} AS alt_n, {pick("f", "ref_nt")} AS a, {pick("r", "ref_nt")} AS b, {pick("f", "alt_nt")} AS c, {pick("r", "alt_nt")} AS d FROM done CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS alt_nt)
+), hits AS (SELECT *, a + b + c + d AS n, list_sum(chances[CAST(alt_n AS BIGINT) + 1:]) AS p FROM alts WHERE alt_n > 0)
+SELECT chrom, pos, substr('ACGT', 1 + ref_nt, 1) AS ref, substr('ACGT', 1 + alt_nt, 1) AS alt, CAST(floor(-10 * log10(least(1.0, p))) AS INT) AS qual, dp, round((c + d) / dp, 6) AS af, {_SB} AS sb,
+       a AS ref_fw, b AS ref_rv, c AS alt_fw, d AS alt_rv, alt_n AS hqa
+FROM hits WHERE p * (SELECT 3 * count(*) FROM tested) < 0.01"""
+
+
+@query(_raw_calls_sql())
+def snv_call_raw(spark, sf_dir):
+    """Low qualities, N, deleted bases: they count for depth and frequency as far as the rule says."""
+    return call.call_snvs(W.raw_obs(spark, sf_dir))
+
+
+@query(_raw_calls_sql("CASE WHEN ref_bq < 0 THEN NULL ELSE ref_bq END", "bq >= 6 AND floor(-10 * log10(e)) >= CASE WHEN nt <> ref_nt THEN 12 ELSE 8 END", _ERR("sq")))
+def snv_call_joined(spark, sf_dir):
+    """Alternative bases with the median quality of reference bases, source qualities, and thresholds on joined qualities."""
+    return call.call_snvs(W.raw_obs(spark, sf_dir), call.CallConfig(def_alt_bq=-1, min_jq=8, min_alt_jq=12, use_sq=True))
+
+
+def _merged_sql(*parts: str) -> str:
+    right, out = "1.0", []
+    for x in parts:
+        out.append(f"{right} * {x}")
+        right += f" * (1 - {x})"
+    return " + ".join(out)
+
+
+_FACE = f"(CASE WHEN mq = 0 THEN 0.5 ELSE {_P('mq')} END)"
+_SITES_SQL = f"""{W.raw_sql()}, sites AS (SELECT chrom, pos, ref_nt, count(*) AS cov, count(*) FILTER (is_tail) AS tails FROM raw GROUP BY chrom, pos, ref_nt
+), ev AS (SELECT chrom, pos, ref_nt, kind, key, count(*) AS n, count(*) FILTER (NOT is_rev) AS c, count(*) FILTER (is_rev) AS d FROM raw WHERE kind IS NOT NULL AND ref_nt < 4 GROUP BY chrom, pos, ref_nt, kind, key
+), tested AS (
+  SELECT ev.*, cov, tails, cov - tails AS dp FROM ev JOIN sites USING (chrom, pos, ref_nt)
+  WHERE NOT (key IN ('A', 'T') AND ev.n < 0.05 * (cov - tails) AND EXISTS (SELECT 1 FROM ev x WHERE x.chrom = ev.chrom AND x.pos = ev.pos AND x.key = ev.key AND x.kind <> ev.kind AND x.n < 0.05 * (cov - tails))))"""
+_INDEL_SQL = f"""WITH {_SITES_SQL}, each AS (
+  SELECT t.chrom, t.pos, t.ref_nt, t.kind, t.key, r.is_rev, coalesce(r.kind = t.kind, false) AS of,
+         CASE WHEN coalesce(r.kind = t.kind, false) THEN {_merged_sql(_PM, "CASE WHEN r.key = t.key THEN " + _ERR("aq") + " ELSE 0.0 END", "pow(10.0, -CASE WHEN t.kind = 'ins' THEN iq ELSE dq END / 10.0)")}
+              ELSE {_merged_sql(_FACE, "pow(10.0, -CASE WHEN t.kind = 'ins' THEN iq ELSE dq END / 10.0)")} END AS e
+  FROM tested t JOIN raw r ON r.chrom = t.chrom AND r.pos = t.pos
+), cols AS (
+  SELECT chrom, pos, ref_nt, kind, key, list(e ORDER BY e) AS eps, count(*) FILTER (NOT of AND NOT is_rev) AS a, count(*) FILTER (NOT of AND is_rev) AS b FROM each GROUP BY chrom, pos, ref_nt, kind, key
+), done AS (SELECT *, t.n AS kmax FROM cols JOIN tested t USING (chrom, pos, ref_nt, kind, key)
+), hits AS (SELECT * EXCLUDE (n), n AS alt_n, a + b + c + d AS n, {_DP}[CAST(kmax AS BIGINT) + 1] AS p FROM done
+), shown AS (SELECT *, substr('ACGT', 1 + ref_nt, 1) AS base FROM hits WHERE p * (SELECT 1 + count(*) FROM tested) < 0.01)
+SELECT chrom, pos, CASE WHEN kind = 'ins' THEN base ELSE base || key END AS ref, CASE WHEN kind = 'ins' THEN base || key ELSE base END AS alt, CAST(floor(-10 * log10(least(1.0, p))) AS INT) AS qual, dp,
+       round(alt_n / dp, 6) AS af, {_SB} AS sb, a AS ref_fw, b AS ref_rv, c AS alt_fw, d AS alt_rv FROM shown"""
+
+
+@query(_INDEL_SQL)
+def indel_call(spark, sf_dir):
+    return call.call_indels(W.raw_obs(spark, sf_dir), call.CallConfig(call_indels=True)).drop("indel")
+
+
+@query(f"""WITH {W.raw_sql()}, w AS (
+  SELECT chrom, pos, kind, key, sum(CASE WHEN kind = 'ins' THEN iq ELSE dq END) AS w FROM raw WHERE kind IS NOT NULL GROUP BY chrom, pos, kind, key
+), rest AS (SELECT chrom, pos, sum(iq) FILTER (kind IS NULL OR kind <> 'ins') AS ins, sum(dq) FILTER (kind IS NULL OR kind <> 'del') AS del FROM raw GROUP BY chrom, pos
+), best AS (SELECT chrom, pos, kind, max(w) AS w, max_by(key, (w, key)) AS key FROM w GROUP BY chrom, pos, kind
+), won AS (SELECT chrom, pos, kind, key FROM best JOIN rest USING (chrom, pos) WHERE w > coalesce(CASE WHEN kind = 'ins' THEN ins ELSE del END, 0))
+SELECT chrom, pos, CASE max(kind) WHEN 'ins' THEN '+' ELSE '-' END || max_by(key, kind) AS cons FROM won GROUP BY chrom, pos""")
+def indel_consensus(spark, sf_dir):
+    return call.indel_consensus(W.raw_obs(spark, sf_dir))
+
+
+@query(f"""WITH {_SITES_SQL}, cols AS (
+  SELECT chrom, pos, ref_nt, count(*) AS dp, count(*) FILTER (nt IS NOT NULL AND bq >= 3) AS bases, count(*) FILTER (nt < 4 AND nt <> ref_nt AND bq >= 6) AS alts FROM raw GROUP BY chrom, pos, ref_nt)
+SELECT (SELECT 3 * count(*) FROM cols WHERE ref_nt < 4 AND alts > 0 AND bases >= 1 AND 2 * bases >= dp) AS snv_tests, (SELECT count(*) FROM tested) AS indel_tests""")
+def test_counts(spark, sf_dir):
+    return call.test_counts(W.raw_obs(spark, sf_dir))
 
 
 @query(f"""{W.ONE}, t AS (SELECT *, dp * 0.01 AS mean FROM v)
@@ -113,7 +206,8 @@ def poisson_prescreen(spark, sf_dir):
 
 
 _INDEL = "(length(ref) > 1 OR length(alt) > 1)"
-_TAGS = lambda *t: "coalesce(nullif(concat_ws(';', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in t) + "), ''), 'PASS')"
+# tags are added to those that a row has
+_TAGS = lambda *t: "coalesce(nullif(concat_ws(';', CASE WHEN v.filter <> 'PASS' THEN v.filter END, " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in t) + "), ''), 'PASS')"
 _OFF = dict(min_dp=None, sb_mtc=None)
 
 
@@ -122,7 +216,7 @@ def filter_af_dp(spark, sf_dir):
     return V.filter_variants(_vs(spark, sf_dir), V.FilterConfig(sb_mtc=None, min_af=0.05, max_af=0.5, min_dp=20, max_dp=40), print_all=True).select(*CALLS, "filter")
 
 
-@query(f"{W.ONE} SELECT chrom, pos, ref, alt, qual, dp FROM v WHERE NOT coalesce((NOT {_INDEL} AND qual < 150) OR ({_INDEL} AND qual < 120), false)")
+@query(f"{W.ONE} SELECT chrom, pos, ref, alt, qual, dp FROM v WHERE filter = 'PASS' AND NOT coalesce((NOT {_INDEL} AND qual < 150) OR ({_INDEL} AND qual < 120), false)")
 def filter_quality(spark, sf_dir):
     return V.filter_variants(_vs(spark, sf_dir), V.FilterConfig(**_OFF, snv_qual=150, indel_qual=120)).select(*SHOWN)
 
@@ -143,8 +237,8 @@ def filter_default(spark, sf_dir):
     return V.filter_variants(_vs(spark, sf_dir), print_all=True).select(*CALLS, "filter")
 
 
-@query(f"""{W.ONE}, r AS {_bh("coalesce(pow(10.0, -qual / 10.0), 0.0)", 1e-9, f"(SELECT * FROM v WHERE NOT {_INDEL})")} SELECT chrom, pos, ref, alt FROM r WHERE hit
-UNION ALL SELECT chrom, pos, ref, alt FROM v WHERE {_INDEL}""")
+@query(f"""{W.ONE}, r AS {_bh("coalesce(pow(10.0, -qual / 10.0), 0.0)", 1e-9, f"(SELECT * FROM v WHERE NOT {_INDEL})")} SELECT chrom, pos, ref, alt FROM r WHERE hit AND filter = 'PASS'
+UNION ALL SELECT chrom, pos, ref, alt FROM v WHERE {_INDEL} AND filter = 'PASS'""")
 def filter_snv_fdr(spark, sf_dir):
     return V.filter_variants(_vs(spark, sf_dir), V.FilterConfig(**_OFF, snv_mtc="fdr", snv_alpha=1e-9)).select(*CALLS)
 

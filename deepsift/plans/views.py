@@ -21,6 +21,31 @@ def obs(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     )
 
 
+_RAW = {
+    "chrom": "concat('chr', CAST(1 + l_partkey % 4 AS STRING))", "pos": "l_partkey div 4", "ref_nt": "CAST(CASE WHEN p_partkey % 23 = 0 THEN 4 ELSE p_size % 4 END AS INT)",
+    "nt": f"CAST(CASE WHEN (l_orderkey + l_linenumber) % 29 = 0 THEN NULL WHEN (l_orderkey + l_linenumber) % 31 = 0 THEN 4 ELSE {_NT} END AS INT)",
+    "bq": "2 * CAST(l_quantity AS INT)", "mq": "CAST(CASE l_orderkey % 13 WHEN 0 THEN 0 WHEN 1 THEN 255 ELSE 20 + 5 * CAST(round(l_tax * 100) AS INT) END AS INT)",
+    "baq": "CAST(CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE 20 + 2 * CAST(round(l_discount * 100) AS INT) END AS INT)", "sq": "CAST(10 + l_suppkey % 30 AS INT)", "is_rev": "l_linestatus = 'F'",
+    "kind": "CASE WHEN (l_orderkey * 11 + l_suppkey * 7 + l_linenumber * 17) % 100 < CASE WHEN l_partkey % 57 = 0 THEN 95 WHEN l_partkey % 19 = 0 THEN 22 ELSE 1 END THEN CASE WHEN l_linenumber % 3 = 0 THEN 'ins' ELSE 'del' END END",
+    "key": "substr('ACGTTA', CAST(1 + p_size % 4 AS INT), CAST(1 + (l_linenumber + p_size) % 2 AS INT))", "iq": "CAST(20 + l_linenumber * 3 AS INT)", "dq": "CAST(16 + l_linenumber * 4 AS INT)",
+    "aq": "CAST(20 + l_suppkey % 20 AS INT)", "is_tail": "l_orderkey % 37 = 0",
+}
+
+
+def raw_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations that call for every threshold: low and too high base qualities, unknown and zero mapping qualities, N, deleted bases, indels, tails."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).selectExpr(*[f"{e} AS {c}" for c, e in _RAW.items()])
+
+
+def raw_sql(name: str = "raw") -> str:
+    """The same in SQL, base qualities capped, an event's key only with its kind."""
+    said = lambda e: e.replace("AS STRING", "AS VARCHAR").replace(" div ", " // ")
+    return f"""{name} AS (SELECT * REPLACE (least(bq, 93) AS bq, CASE WHEN kind IS NOT NULL THEN key END AS key)
+  FROM (SELECT {", ".join(f"{said(e)} AS {c}" for c, e in _RAW.items())} FROM lineitem JOIN part ON l_partkey = p_partkey))"""
+
+
 def contig(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return parts.select(F.expr("concat('chr', CAST(1 + p_partkey % 4 AS STRING))").alias("chrom"), F.expr("p_partkey div 4").alias("pos"), base_of(F.col("p_size") % 4).alias("base"))

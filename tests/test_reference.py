@@ -79,7 +79,10 @@ def test_set_algebra(spark):
     assert V.intersect(a, swapped).count() == 0 and V.intersect(a, swapped, only_pos=True).count() == 3
     assert V.concat(a, a, only="indels").count() == 2
     assert V.filter_variants(a, print_all=True).count() == 3
-    assert V.filter_variants(a, V.FilterConfig(min_dp=None, sb_mtc=None, snv_qual=60, indel_qual=60)).count() == 1  # a missing quality passes
+    strict = V.FilterConfig(min_dp=None, sb_mtc=None, snv_qual=60, indel_qual=60)
+    assert V.filter_variants(a.withColumn("filter", F.lit(".")), strict).count() == 1  # a missing quality passes
+    assert V.filter_variants(a, strict).count() == 0  # an older tag stays
+    assert {r["filter"] for r in V.filter_variants(a.withColumn("filter", F.lit("old;low")), strict, print_all=True).collect()} == {"old;low;min_snvqual_60", "old;low"}
 
 
 def test_filter_is_monotone(spark):
