@@ -7,12 +7,12 @@ codeword indices. At a Jaccard of 0.8 the cosine is 0.889 or more, so a bit diff
 errors are spread over the segments, and two texts share a key of a band with a chance of 0.31, of some band with
 1 - 0.69^BANDS (0.9994). At 0.85 that is 0.99999.
 
-Pairs that share a key are verified: their fingerprints' first 64 bits differ in at most RADIUS (a linked pair in more
-with a chance of 2e-6), and then the shingles themselves decide, so a link is never wrong.
+Pairs that share a key are verified in steps: sizes, the first 64 and then all whole words of bits of their fingerprints
+(limits that a linked pair is over with a chance under 1e-6), and then the shingles themselves, so a link is never wrong.
 
-All pairs of a key with up to ``SMALL`` nodes are tried. The nodes of a larger key are first held against one leader, and
-those not in one component then against a second one. What still lies in different components is tried pair by pair,
-so a crowded key of near copies costs rows in proportion to its members and no key loses a pair.
+All pairs of a key with up to ``SMALL`` nodes are tried. The nodes of a larger key are first held against two leaders. What
+then still lies in different components is compared within pairs of blocks of a key's members, which no pair leaves: a
+crowded key costs rows in proportion to its members, for each block of them, and no key loses a pair.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LONG, SALTS, Scratch, components, fields, slices
 from .golay import LENGTH, soft_keys
@@ -32,7 +33,9 @@ SHARE = (4, 5)
 BANDS, KEYS = 20, 4
 #: Bits of a segment that may be wrong, and codewords of it.
 FLIPS, NEAREST = 4, 4
+#: Of the fingerprint's first 64 bits, and of all whole words of it; texts under SHORT shingles have ties among their sums.
 RADIUS = 24
+WIDE_RADIUS, WIDE_RADIUS_SHORT, SHORT = 192, 228, 24
 SMALL = 16
 #: So many shingles are summed at once: their ones fit a byte.
 PART = 255
@@ -69,8 +72,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sums_of(words: list[bytes]) -> np.ndarray:
-    """The signed sums of a text with words; a positive one is a fingerprint bit of 1."""
+def sums_of(words: list[bytes]) -> tuple[np.ndarray, int]:
+    """The signed sums of a text with words, a positive one is a fingerprint bit of 1; and its number of different shingles."""
     one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     x = np.zeros(max(1, len(one) - WIDTH + 1), np.uint64)
     for i in range(min(WIDTH, len(one))):
@@ -80,13 +83,12 @@ def sums_of(words: list[bytes]) -> np.ndarray:
     for i in range(0, len(x), PART):
         bits = np.unpackbits(_mixed(x[i : i + PART, None] * _FACTORS).view(np.uint8), axis=1)
         ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return (2 * ones - len(x)).astype(np.float32)
+    return (2 * ones - len(x)).astype(np.float32), len(x)
 
 
-def band_keys(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of sums the keys, the row of each key, and the first 64 bits of each row's fingerprint, all as signed longs."""
+def band_keys(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of sums the keys, and the row of each, ascending."""
     n = len(sums)
-    first = np.packbits(sums[:, :64] > 0, axis=1, bitorder="little").copy().view(np.int64).reshape(n)
     code, worth = soft_keys(sums[:, : _SEGMENTS * LENGTH].reshape(-1, LENGTH), FLIPS, NEAREST)
     code, worth = code.reshape(n, BANDS, 2, NEAREST), worth.reshape(n, BANDS, 2, NEAREST)
     both = (worth[:, :, 0, :, None] + worth[:, :, 1, None, :]).reshape(n, BANDS, -1)
@@ -94,10 +96,14 @@ def band_keys(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best = np.argpartition(-both, KEYS - 1, axis=2)[:, :, :KEYS]
     key = np.take_along_axis(pair, best, 2) | (np.arange(BANDS) << 24)[None, :, None]
     row, *_ = np.nonzero(ok := np.isfinite(np.take_along_axis(both, best, 2)))
-    return key[ok], row, first
+    return key[ok], row
 
 
 KEYED = fields(key=LONG, id=LONG, bits=LONG)
+#: A node's number of shingles and words of its fingerprint.
+COMPARED = _WORDS - 1
+NODES = T.StructType([*fields(id=LONG, size=LONG, **{f"w{i}": LONG for i in range(COMPARED)}).fields, T.StructField("keys", T.ArrayType(LONG, False))])
+PRINTS = fields(id=LONG, size=LONG, **{f"w{i}": LONG for i in range(COMPARED)})
 
 
 def _node(words: list[bytes]) -> int:
@@ -122,8 +128,11 @@ def _keyed(batches):
             seen.clear()
         if some:
             ids = np.fromiter(some, np.int64, len(some))
-            keys, row, first = band_keys(np.stack(list(some.values())))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[row]), pa.array(first[row])], KEYED.names)
+            keys, row = band_keys(np.stack([x for x, _ in some.values()]))
+            prints = np.packbits(np.stack([x[: 64 * COMPARED] > 0 for x, _ in some.values()]), axis=1, bitorder="little").view(np.int64)
+            # of a node the keys stand in one row, so they move once and its fingerprint with them
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))]).astype(np.int32), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([m for _, m in some.values()], pa.int64()), *map(pa.array, np.ascontiguousarray(prints.T)), lists], NODES.names)
 
 
 def _alike(batches):
@@ -168,36 +177,100 @@ def _apart(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     return _by_key(rooted, ("lo", F.min, "root"), ("hi", F.max, "root")).where("lo <> hi").select("key", "id", "bits", "root")
 
 
-def links(keyed: DataFrame, texts_of, scratch: Scratch, small: int = SMALL) -> DataFrame:
+def likely(pairs: DataFrame, prints: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """The pairs whose sizes and whole fingerprints leave a similarity of SHARE possible; prints(id, size, w0, w1, ...)."""
+    side = lambda c: prints.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in PRINTS.names[1:]])
+    met = pairs.join(side("p"), F.col(u) == F.col("p")).join(side("q"), F.col(v) == F.col("q"))
+    return met.where(_possible("p", "q")).select(*pairs.columns)
+
+
+def _possible(a: str, b: str) -> Column:
+    part, whole = SHARE
+    sizes = F.col(f"{a}_size"), F.col(f"{b}_size")
+    apart = sum((F.bit_count(F.col(f"{a}_w{i}").bitwiseXOR(F.col(f"{b}_w{i}"))) for i in range(1, COMPARED)), F.bit_count(F.col(f"{a}_w0").bitwiseXOR(F.col(f"{b}_w0"))))
+    return (whole * F.least(*sizes) >= part * F.greatest(*sizes)) & (apart <= F.when(F.least(*sizes) < SHORT, WIDE_RADIUS_SHORT).otherwise(WIDE_RADIUS))
+
+
+def links(keyed: DataFrame, prints: DataFrame, texts_of, scratch: Scratch, small: int = SMALL) -> DataFrame:
     """Edges (u, v) between alike nodes that connect all alike nodes of a key.
 
-    texts_of(ids) gives (id, text); the saved table keyed(key, id, bits) may repeat rows and is dropped.
+    texts_of(pairs) gives (id, text); the saved table keyed(key, id, bits) may repeat rows and is dropped;
+    prints(id, size, w0, ...) has the nodes' whole fingerprints.
     """
     item = F.struct("id", "bits")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(item).alias("lead"), F.max("id").alias("hi")).where("lead.id <> hi")
-    shared = scratch.save(keyed.join(sizes.select("key", "n", "lead"), "key"))
+    drawn = F.struct(F.xxhash64("key", "id").alias("by"), "id", "bits")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(item).alias("lead"), F.min(drawn).alias("other"), F.max("id").alias("hi")).where("lead.id <> hi")
+    shared = scratch.save(keyed.join(sizes.select("key", "n", "lead", "other"), "key"))
     scratch.drop(keyed)
-    x = F.col("x")
-    lists = shared.where(F.col("n") <= small).groupBy("key").agg(F.collect_set(item).alias("all")).select("all", F.explode("all").alias("x"))
-    few = lists.select(F.col("x.id").alias("u"), F.explode(F.filter("all", lambda y: (y["id"] > x["id"]) & _close(y["bits"], x["bits"]))["id"]).alias("v"))
-    stars = shared.where((F.col("n") > small) & (F.col("id") != F.col("lead.id")) & _close("bits", "lead.bits")).select(F.col("lead.id").alias("u"), F.col("id").alias("v"))
-    pairs = scratch.save(few.unionByName(stars).distinct())
+    close = lambda x: F.transform(F.filter("all", lambda y: (y["id"] > x["id"]) & _close(y["bits"], x["bits"])), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))
+    lists = shared.where(F.col("n") <= small).groupBy("key").agg(F.collect_set(item).alias("all"))
+    pairs = lists.select(F.explode(F.flatten(F.transform("all", close))).alias("p")).select("p.u", "p.v")
+    for lead in ("lead", "other"):
+        stars = shared.where((F.col("n") > small) & (F.col("id") != F.col(f"{lead}.id")) & _close("bits", f"{lead}.bits"))
+        pairs = pairs.unionByName(stars.select(F.least("id", f"{lead}.id").alias("u"), F.greatest("id", f"{lead}.id").alias("v")))
+    pairs = scratch.save(likely(pairs.distinct(), prints))
     edges = scratch.save(verified(pairs, texts_of(pairs), scratch))
     crowded = shared.where(F.col("n") > small).select("key", "id", "bits")
     if crowded.isEmpty():
         return edges
-    left = scratch.save(_apart(crowded.distinct(), edges, scratch))
+    left = scratch.save(_apart(crowded.distinct(), edges, scratch).join(prints, "id"))
     scratch.drop(shared)
-    # another leader for each key, and of its members those of other components
-    led = _by_key(left, ("lead", F.min, F.struct(F.xxhash64("key", "id"), "id", "bits", "root")))
-    more = led.where((F.col("root") != F.col("lead.root")) & _close("bits", "lead.bits")).select(F.col("lead.id").alias("u"), F.col("id").alias("v"))
-    more = scratch.save(more.distinct())
-    edges = scratch.save(edges.unionByName(verified(more, texts_of(more), scratch)))
-    left = scratch.save(_apart(left, edges, scratch))
-    other = left.select("key", F.col("id").alias("v"), F.col("bits").alias("b"), F.col("root").alias("other"))
-    rest = left.join(other, "key").where((F.col("id") < F.col("v")) & (F.col("root") != F.col("other")) & _close("bits", "b")).select(F.col("id").alias("u"), "v")
-    rest = scratch.save(rest.distinct())
-    return scratch.save(edges.unionByName(verified(rest, texts_of(rest), scratch)))
+    return scratch.save(edges.unionByName(_tiles(left, texts_of, scratch)))
+
+
+#: Members of a crowded key are dealt into blocks of about so many.
+BLOCK = 256
+
+
+def _tiles(left: DataFrame, texts_of, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) that connect all alike members of a key that are in different components; left(key, id, root, size, w0, ...).
+
+    Two blocks of a key's members, with their texts, are one group: pairs are compared within it, first by
+    fingerprints, and no pair leaves it but a forest of links between components.
+    """
+    ids = left.select("id").distinct()
+    texts = scratch.save(texts_of(ids.select(F.col("id").alias("u"), F.col("id").alias("v"))))
+    members = left.select("key", "id", "root", "size", F.array(*PRINTS.names[2:]).alias("print"))
+    blocks = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS))).groupBy("key", "s").agg(F.count("*").alias("n")).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(texts, "id").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = dealt.select("*", other.alias("other")).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return tiles.select("key", "lo", "hi", "own", "id", "root", "size", "print", "text").groupBy("key", "lo", "hi").applyInArrow(_tile, fields(u=LONG, v=LONG))
+
+
+def _find(parent: dict[int, int], x: int) -> int:
+    while (up := parent.setdefault(x, x)) != x:
+        parent[x] = x = parent[up]
+    return x
+
+
+def _tile(key, group):
+    lo, hi = key[1].as_py(), key[2].as_py()
+    own, ids, roots, sizes = (group.column(c).to_numpy() for c in ("own", "id", "root", "size"))
+    prints = group.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    texts, sets = group.column("text"), {}
+    parent, edges = {}, []
+    part, whole = SHARE
+
+    def held(i: int) -> set:
+        if i not in sets:
+            sets[i] = shingles(words_of(texts[i].as_py()))
+        return sets[i]
+
+    first, second = (range(len(ids)), np.arange(len(ids))) if lo == hi else (np.nonzero(own == lo)[0].tolist(), np.nonzero(own == hi)[0])
+    for i in first:
+        js = second[second > i] if lo == hi else second
+        js = js[roots[js] != roots[i]]
+        js = js[whole * np.minimum(sizes[js], sizes[i]) >= part * np.maximum(sizes[js], sizes[i])]
+        if len(js):
+            apart = np.bitwise_count(prints[js] ^ prints[i]).sum(axis=1, dtype=np.int64)
+            for j in js[apart <= np.where(np.minimum(sizes[js], sizes[i]) < SHORT, WIDE_RADIUS_SHORT, WIDE_RADIUS)].tolist():
+                a, b = _find(parent, int(roots[i])), _find(parent, int(roots[j]))
+                if a != b and alike(held(i), held(j)):
+                    parent[a] = b
+                    edges.append((int(ids[i]), int(ids[j])))
+    u, v = zip(*edges, strict=True) if edges else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def keep_first(docs: DataFrame, scratch: Scratch | None = None, small: int = SMALL) -> DataFrame:
@@ -215,7 +288,9 @@ def keep_first(docs: DataFrame, scratch: Scratch | None = None, small: int = SMA
     marked = scratch.save(docs.select(doc_id.alias("doc_id"), h.alias("h"), text).mapInArrow(_nodes, fields(doc_id=LONG, h=LONG, id=LONG)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
     classes = scratch.save(marked.groupBy("id").agg(first))
-    keyed = scratch.save(docs.select(text).mapInArrow(_keyed, KEYED))
+    nodes = scratch.save(docs.select(text).mapInArrow(_keyed, NODES).dropDuplicates(["id"]))
+    keyed = scratch.save(nodes.select(F.explode("keys").alias("key"), "id", F.col("w0").alias("bits")))
+    prints = nodes.select(*PRINTS.names)
 
     def row_of(wanted: DataFrame, *columns) -> DataFrame:
         """The rows of documents that wanted(__doc, __hash) names."""
@@ -227,7 +302,7 @@ def keep_first(docs: DataFrame, scratch: Scratch | None = None, small: int = SMA
         wanted = ids.join(classes, "id").select("id", F.col("first.doc_id").alias("__doc"), F.col("first.h").alias("__hash"))
         return row_of(wanted, text).select("id", "text").dropDuplicates(["id"])
 
-    roots = scratch.save(components(links(keyed, texts_of, scratch, small), scratch))
+    roots = scratch.save(components(links(keyed, prints, texts_of, scratch, small), scratch))
     rooted = classes.join(roots, classes.id == roots.node, "left").select(F.coalesce("root", "id").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
     copies = marked.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
