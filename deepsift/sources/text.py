@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,6 +63,51 @@ ALIGNED = """
       ELSE s END).out"""
 
 
+#: Contigs are kept in overlapping chunks: one starts every CHUNK bases and has twice as many.
+CHUNK = 1 << 16
+SPAN = "aggregate(ops, 0, (n, o) -> n + CASE WHEN o.op IN ('M', '=', 'X', 'D', 'N') THEN o.len ELSE 0 END)"
+
+
+def reference_chunks(contigs: DataFrame) -> DataFrame:
+    """chrom, chunk, bases of contigs(chrom, seq)."""
+
+    def run(batches):
+        for b in batches:
+            for chrom, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for i in range(0, len(seq), CHUNK * 64):
+                    at = range(i, min(i + CHUNK * 64, len(seq)), CHUNK)
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(at)), pa.array([x // CHUNK for x in at], pa.int64()), pa.array([seq[x : x + 2 * CHUNK] for x in at])], ["chrom", "chunk", "bases"])
+
+    return contigs.select("chrom", "seq").mapInArrow(run, "chrom string, chunk long, bases string")
+
+
+def with_reference(reads: DataFrame, contigs: DataFrame, around: Column) -> DataFrame:
+    """reads with ref_start and ref: the reference that a read covers with so many bases ``around``, null without a contig.
+
+    A read meets one chunk of its contig by an equi-join; one that covers more than CHUNK bases meets the contig.
+    """
+    start = F.greatest(F.lit(0), F.col("pos") - around).cast("long")
+    spanned = reads.withColumns({"ref_start": start, "_stop": F.col("pos") + F.expr(SPAN) + around})
+    wide = F.coalesce(F.col("_stop") - F.col("ref_start") > CHUNK, F.lit(False))
+    cut = lambda seq, first: F.substring(seq, (F.col("ref_start") - first + 1).cast("int"), (F.col("_stop") - F.col("ref_start")).cast("int"))
+    near = spanned.where(~wide).withColumn("chunk", F.expr(f"ref_start div {CHUNK}")).join(reference_chunks(contigs), ["chrom", "chunk"], "left")
+    near = near.withColumn("ref", cut(F.col("bases"), F.col("chunk") * CHUNK)).select(*reads.columns, "ref_start", "ref")
+    far = spanned.where(wide).join(contigs.select("chrom", F.col("seq").alias("bases")), "chrom", "left").withColumn("ref", cut(F.col("bases"), F.lit(0))).select(*reads.columns, "ref_start", "ref")
+    return near.unionByName(far)
+
+
+def with_sites(reads: DataFrame, sites: DataFrame) -> DataFrame:
+    """reads with the positions among sites(chrom, pos) that they cover, or just miss, as an array; long reads are looked up chunk by chunk."""
+    first, last = F.expr(f"greatest(0, pos - 1) div {CHUNK}"), F.expr(f"(pos + {SPAN}) div {CHUNK}")
+    listed = sites.select("chrom", F.expr(f"pos div {CHUNK}").alias("chunk"), F.col("pos").cast("long").alias("_site")).distinct().groupBy("chrom", "chunk").agg(F.collect_list("_site").alias("_sites"))
+    keyed = reads.withColumn("_read", F.struct(*reads.columns)).select("_read", "chrom", "pos", F.expr(SPAN).alias("_span"), first.alias("_a"), last.alias("_b"))
+    inside = F.filter("_sites", lambda x: (x >= F.col("pos") - 1) & (x <= F.col("pos") + F.col("_span")))
+    narrow = keyed.where("coalesce(_a = _b, true)").withColumn("chunk", F.col("_a")).join(listed, ["chrom", "chunk"], "left").select("_read", F.coalesce(inside, F.array().cast("array<bigint>")).alias("sites"))
+    two = keyed.where("_a < _b").withColumn("_id", F.monotonically_increasing_id()).withColumn("chunk", F.explode(F.sequence("_a", "_b"))).join(listed, ["chrom", "chunk"], "left")
+    wide = two.groupBy("_id").agg(F.first("_read").alias("_read"), F.flatten(F.collect_list(inside)).alias("sites")).drop("_id")
+    return narrow.unionByName(wide).select("_read.*", "sites")
+
+
 def observations(reads: DataFrame, bases: DataFrame) -> DataFrame:
     """A row per aligned base: the CIGAR walk as array expressions, then an equi-join with the reference's bases.
 
