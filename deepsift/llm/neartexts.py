@@ -10,9 +10,9 @@ errors are spread over the segments, and two texts share a key of a band with a
 Pairs that share a key are verified in steps: sizes, the first 64 and then all whole words of bits of their fingerprints
 (limits that a linked pair is over with a chance under 1e-6), and then the shingles themselves, so a link is never wrong.
 
-All pairs of a key with up to ``SMALL`` nodes are tried. The nodes of a larger key are first held against two leaders. What
-then still lies in different components is compared within pairs of blocks of a key's members, which no pair leaves: a
-crowded key costs rows in proportion to its members, for each block of them, and no key loses a pair.
+A key's nodes are first held against two leaders. Keys whose nodes are then not all in one component are looked at again:
+with up to ``SMALL`` nodes pair by pair of different components, larger ones within pairs of blocks of their nodes, which
+no pair leaves. So a crowded key costs rows in proportion to its members, for each block of them, and no key loses a pair.
 """
 
 from __future__ import annotations
@@ -72,13 +72,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sums_of(words: list[bytes]) -> tuple[np.ndarray, int]:
-    """The signed sums of a text with words, a positive one is a fingerprint bit of 1; and its number of different shingles."""
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The different shingles of a text with words, ascending."""
     one = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     x = np.zeros(max(1, len(one) - WIDTH + 1), np.uint64)
     for i in range(min(WIDTH, len(one))):
         x += one[i : i + len(x)] * _PLACES[i]
-    x = np.unique(_mixed(x))
+    return np.unique(_mixed(x))
+
+
+def sums_of(words: list[bytes]) -> tuple[np.ndarray, int]:
+    """The signed sums of a text with words, a positive one is a fingerprint bit of 1; and its number of different shingles."""
+    x = shingle_hashes(words)
     ones = np.zeros(64 * _WORDS, np.int32)
     for i in range(0, len(x), PART):
         bits = np.unpackbits(_mixed(x[i : i + PART, None] * _FACTORS).view(np.uint8), axis=1)
@@ -170,11 +175,10 @@ def _by_key(members: DataFrame, *found) -> DataFrame:
 
 
 def _apart(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (key, id, bits, root) of keys whose members are not all in one component."""
+    """Members (key, n, id, bits, root) of keys whose members are not all in one component."""
     roots = scratch.save(components(edges, scratch))
-    members = members.select("key", "id", "bits")
-    rooted = members.join(roots, members.id == roots.node, "left").select("key", "id", "bits", F.coalesce("root", "id").alias("root"))
-    return _by_key(rooted, ("lo", F.min, "root"), ("hi", F.max, "root")).where("lo <> hi").select("key", "id", "bits", "root")
+    rooted = members.join(roots, members.id == roots.node, "left").select("key", "n", "id", "bits", F.coalesce("root", "id").alias("root"))
+    return _by_key(rooted, ("lo", F.min, "root"), ("hi", F.max, "root")).where("lo <> hi").select("key", "n", "id", "bits", "root")
 
 
 def likely(pairs: DataFrame, prints: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -194,32 +198,36 @@ def _possible(a: str, b: str) -> Column:
 def links(keyed: DataFrame, prints: DataFrame, texts_of, scratch: Scratch, small: int = SMALL) -> DataFrame:
     """Edges (u, v) between alike nodes that connect all alike nodes of a key.
 
-    texts_of(pairs) gives (id, text); the saved table keyed(key, id, bits) may repeat rows and is dropped;
+    texts_of(pairs) gives (id, text); the saved table keyed(key, id, bits) has each id once for a key and is dropped;
     prints(id, size, w0, ...) has the nodes' whole fingerprints.
     """
-    item = F.struct("id", "bits")
-    drawn = F.struct(F.xxhash64("key", "id").alias("by"), "id", "bits")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(item).alias("lead"), F.min(drawn).alias("other"), F.max("id").alias("hi")).where("lead.id <> hi")
-    shared = scratch.save(keyed.join(sizes.select("key", "n", "lead", "other"), "key"))
-    scratch.drop(keyed)
-    close = lambda x: F.transform(F.filter("all", lambda y: (y["id"] > x["id"]) & _close(y["bits"], x["bits"])), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))
-    lists = shared.where(F.col("n") <= small).groupBy("key").agg(F.collect_set(item).alias("all"))
-    pairs = lists.select(F.explode(F.flatten(F.transform("all", close))).alias("p")).select("p.u", "p.v")
+    item, drawn = F.struct("id", "bits"), F.struct(F.xxhash64("key", "id").alias("by"), "id", "bits")
+    found = [F.count("*").alias("n"), F.min(item).alias("lead"), F.min(drawn).alias("other"), F.max("id").alias("hi"), F.bit_xor("bits").alias("apart")]
+    sizes = scratch.save(keyed.groupBy("key").agg(*found).where("n > 1"))
+    # of two members the aggregate has all; most chance meetings end here
+    pairs = sizes.where((F.col("n") == 2) & (F.bit_count("apart") <= RADIUS)).select(F.col("lead.id").alias("u"), F.col("hi").alias("v"))
+    shared = scratch.save(keyed.join(sizes.where("n > 2").select("key", "n", "lead", "other"), "key"))
     for lead in ("lead", "other"):
-        stars = shared.where((F.col("n") > small) & (F.col("id") != F.col(f"{lead}.id")) & _close("bits", f"{lead}.bits"))
+        stars = shared.where((F.col("id") != F.col(f"{lead}.id")) & _close("bits", f"{lead}.bits"))
         pairs = pairs.unionByName(stars.select(F.least("id", f"{lead}.id").alias("u"), F.greatest("id", f"{lead}.id").alias("v")))
     pairs = scratch.save(likely(pairs.distinct(), prints))
+    scratch.drop(keyed, sizes)
     edges = scratch.save(verified(pairs, texts_of(pairs), scratch))
-    crowded = shared.where(F.col("n") > small).select("key", "id", "bits")
-    if crowded.isEmpty():
-        return edges
-    left = scratch.save(_apart(crowded.distinct(), edges, scratch).join(prints, "id"))
+    left = scratch.save(_apart(shared.select("key", "n", "id", "bits"), edges, scratch))
     scratch.drop(shared)
-    return scratch.save(edges.unionByName(_tiles(left, texts_of, scratch)))
+    if left.isEmpty():
+        return edges
+    members = left.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("id", "bits", "root")).alias("all"))
+    near = lambda x: F.filter("all", lambda y: (y["id"] > x["id"]) & (y["root"] != x["root"]) & _close(y["bits"], x["bits"]))
+    few = members.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(near(x), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))))).alias("p")).select("p.u", "p.v")
+    few = scratch.save(likely(few.distinct(), prints))
+    edges = scratch.save(edges.unionByName(verified(few, texts_of(few), scratch)))
+    crowded = scratch.save(left.where(F.col("n") > small).join(prints, "id"))
+    return scratch.save(edges.unionByName(_tiles(crowded, texts_of, scratch)))
 
 
 #: Members of a crowded key are dealt into blocks of about so many.
-BLOCK = 256
+BLOCK = 128
 
 
 def _tiles(left: DataFrame, texts_of, scratch: Scratch) -> DataFrame:
@@ -252,11 +260,17 @@ def _tile(key, group):
     parent, edges = {}, []
     part, whole = SHARE
 
-    def held(i: int) -> set:
+    def held(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = shingles(words_of(texts[i].as_py()))
+            sets[i] = shingle_hashes(words_of(texts[i].as_py()))
         return sets[i]
 
+    def linked(i: int, j: int) -> bool:
+        """By hashes, and for what they find by the shingles themselves."""
+        a, b = held(i), held(j)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return whole * both >= part * (len(a) + len(b) - both) and alike(*(shingles(words_of(texts[k].as_py())) for k in (i, j)))
+
     first, second = (range(len(ids)), np.arange(len(ids))) if lo == hi else (np.nonzero(own == lo)[0].tolist(), np.nonzero(own == hi)[0])
     for i in first:
         js = second[second > i] if lo == hi else second
@@ -266,7 +280,7 @@ def _tile(key, group):
             apart = np.bitwise_count(prints[js] ^ prints[i]).sum(axis=1, dtype=np.int64)
             for j in js[apart <= np.where(np.minimum(sizes[js], sizes[i]) < SHORT, WIDE_RADIUS_SHORT, WIDE_RADIUS)].tolist():
                 a, b = _find(parent, int(roots[i])), _find(parent, int(roots[j]))
-                if a != b and alike(held(i), held(j)):
+                if a != b and linked(i, j):
                     parent[a] = b
                     edges.append((int(ids[i]), int(ids[j])))
     u, v = zip(*edges, strict=True) if edges else ((), ())
