@@ -4,8 +4,9 @@ Unit vectors at cosine c or more are at distance sqrt(2 - 2c) = eps or less. Dis
 one class with a count) are projected on leading principal directions, sorted by the cells of a grid of width
 eps, and cut into blocks of consecutive vectors. Blocks form a tree of sequence intervals with bounding boxes;
 pairs of intervals are joined from the root down, and a pair more than eps apart in the projection is never
-opened. Pairs of blocks that are left are compared in double precision. A pair of blocks gives link counts and
-a spanning forest of its links, never the links themselves, so output grows with rows and not with pairs.
+opened. The blocks of two nodes of the last level but one meet in one task, each sent there once, and near ones are
+compared in double precision. They give link counts and spanning forests of their links, never the links themselves,
+so output grows with rows and not with pairs.
 
 Directions are fitted to a bounded sample; any orthonormal directions keep the result exact, better ones skip
 more.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, DBL, INT, LONG, Scratch, components, fields, number_rows
+from .common import BIN, DBL, INT, LONG, STR, Scratch, components, fields, number_rows
 
 COSINE = 0.98
 AXES = 8
@@ -63,7 +64,7 @@ def _flat(column, dtype) -> np.ndarray:
     return np.frombuffer(column.as_py(), dtype)
 
 
-BLOCKS = fields(label=LONG, dim=INT, blk=LONG, ids=BIN, counts=BIN, rows=BIN, lo=T.ArrayType(DBL), hi=T.ArrayType(DBL))
+BLOCKS = fields(label=STR, dim=INT, blk=LONG, ids=BIN, counts=BIN, rows=BIN, lo=T.ArrayType(DBL), hi=T.ArrayType(DBL))
 FOUND = fields(id=LONG, links=LONG, other=LONG)
 
 
@@ -73,36 +74,57 @@ def _block(key, group):
     rows = _unit(group.column("embedding").combine_chunks().flatten().to_numpy(), dim)
     lo, hi = (np.pad(f(axis=0), (0, AXES - proj.shape[1])) for f in (proj.min, proj.max))
     row = {"label": [key[0].as_py()], "dim": [dim], "blk": [key[2].as_py()], "ids": [group.column("row").to_numpy().tobytes()], "counts": [group.column("n").to_numpy().tobytes()], "rows": [rows.tobytes()], "lo": [lo.tolist()], "hi": [hi.tolist()]}
-    return pa.Table.from_pydict(row, schema=pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("blk", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
-
-
-def _compare(cosine: float):
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                dim, same = b.column("dim")[i].as_py(), b.column("a")[i] == b.column("b")[i]
-                ids, counts = _flat(b.column("ids_a")[i], np.int64), _flat(b.column("counts_a")[i], np.int64)
-                x = _flat(b.column("rows_a")[i], np.float64).reshape(-1, dim)
-                if same:
-                    links = x @ x.T >= cosine
-                    links |= links.T
-                    np.fill_diagonal(links, False)
-                    degree = links @ counts + counts - 1
+    return pa.Table.from_pydict(row, schema=pa.schema([("label", pa.string()), ("dim", pa.int32()), ("blk", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))]))
+
+
+def _links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> np.ndarray:
+    """The symmetric matrix of links among the rows of x, or of x and y against each other."""
+    if y is None:
+        links = x @ x.T >= cosine
+        links |= links.T
+        np.fill_diagonal(links, False)
+        return links
+    part = x @ y.T >= cosine
+    links = np.zeros((len(x) + len(y),) * 2, bool)
+    links[: len(x), len(x) :] = part
+    links[len(x) :, : len(x)] = part.T
+    return links
+
+
+def _compare(cosine: float, eps: float):
+    """Over the blocks of two tree nodes, each of them there once: counts of links, and links that span components."""
+
+    def run(key, group):
+        dim, low, high = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        rows = group.select(["blk", "node"]).to_pydict()
+        ids, counts = ([_flat(x, np.int64) for x in group.column(c)] for c in ("ids", "counts"))
+        vectors = [_flat(x, np.float64).reshape(-1, dim) for x in group.column("rows")]
+        lo, hi = (np.array(group.column(c).to_pylist()) for c in ("lo", "hi"))
+        degree = [np.zeros(len(x), np.int64) for x in ids]
+        edges = []
+        for i in range(len(ids)):
+            for j in range(len(ids)):
+                ordered = (rows["node"][i], rows["blk"][i]) <= (rows["node"][j], rows["blk"][j])
+                if {rows["node"][i], rows["node"][j]} != {low, high} or not ordered:
+                    continue
+                gap = np.maximum(0.0, np.maximum(lo[i] - hi[j], lo[j] - hi[i]))
+                if float(gap @ gap) > eps * eps + 1e-9:
+                    continue
+                links = _links(vectors[i], None if i == j else vectors[j], cosine)
+                own = ids[i] if i == j else np.concatenate([ids[i], ids[j]])
+                found = links @ (counts[i] if i == j else np.concatenate([counts[i], counts[j]]))
+                if i == j:
+                    degree[i] += found + counts[i] - 1
                 else:
-                    ids_b, counts_b = _flat(b.column("ids_b")[i], np.int64), _flat(b.column("counts_b")[i], np.int64)
-                    part = x @ _flat(b.column("rows_b")[i], np.float64).reshape(-1, dim).T >= cosine
-                    if not part.any():
-                        continue
-                    degree = np.concatenate([part @ counts_b, part.T @ counts])
-                    # only the vectors with links take part in the forest
-                    links = np.zeros((len(ids) + len(ids_b),) * 2, bool)
-                    links[: len(ids), len(ids) :] = part
-                    links[len(ids) :, : len(ids)] = part.T
-                    ids = np.concatenate([ids, ids_b])
+                    degree[i] += found[: len(ids[i])]
+                    degree[j] += found[len(ids[i]) :]
                 root = _forest(links)
-                at = np.nonzero((degree > 0) | (root != np.arange(len(root))))[0]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(degree[at].astype(np.int64)), pa.array(ids[root[at]])], FOUND.names)
+                at = np.nonzero(root != np.arange(len(root)))[0]
+                edges.append((own[at], own[root[at]]))
+        every, links = np.concatenate(ids), np.concatenate(degree)
+        at = links > 0
+        u, v = (np.concatenate([every[at], *(e[k] for e in edges)]) for k in (0, 1))
+        return pa.table({"id": u, "links": np.concatenate([links[at], np.zeros(len(u) - at.sum(), np.int64)]), "other": v})
 
     return run
 
@@ -119,7 +141,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch |
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "vectors")
     e = F.col("embedding")
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.coalesce(F.col("label").isNotNull() & finite & F.exists(e, lambda x: x != 0), F.lit(False))
     base = base.withColumn("ok", ok).withColumn("dim", F.size("embedding")).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
@@ -154,14 +176,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, scratch: Scratch |
     pairs = nodes[-1].select(*group, F.col("node").alias("a"), F.col("node").alias("b"))
     gap = lambda i: F.greatest(F.lit(0.0), F.col(f"a_l{i}") - F.col(f"b_h{i}"), F.col(f"b_l{i}") - F.col(f"a_h{i}"))
     apart = sum((gap(i) * gap(i) for i in range(1, AXES)), gap(0) * gap(0))
-    for level in reversed(nodes[:-1]):
+    for level in reversed(nodes[1:-1]):
         side = lambda s, level=level: level.select(*group, F.expr(f"node div {FAN}").alias(s), F.col("node").alias(f"{s}_node"), *[F.col(c).alias(f"{s}_{c}") for c in low + high])
         opened = pairs.join(side("a"), [*group, "a"]).join(side("b"), [*group, "b"])
         opened = opened.where((F.col("a_node") <= F.col("b_node")) & (apart <= eps * eps + 1e-9))
         pairs = scratch.save(opened.select(*group, F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    left = blocks.select(*group, F.col("blk").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("ids", "counts", "rows")])
-    right = blocks.select(*group, F.col("blk").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("ids", "counts", "rows")])
-    found = scratch.save(pairs.join(left, [*group, "a"]).join(right, [*group, "b"]).mapInArrow(_compare(cosine), FOUND))
+    # the last step is taken where the vectors are: FAN blocks a side meet at once, each sent there once
+    held = blocks.withColumn("node", F.expr(f"blk div {FAN}") if len(nodes) > 1 else F.col("blk"))
+    first = held.join(pairs.withColumn("node", F.col("a")), [*group, "node"])
+    second = held.join(pairs.where("a <> b").withColumn("node", F.col("b")), [*group, "node"])
+    found = scratch.save(first.unionByName(second).groupBy(*group, "a", "b").applyInArrow(_compare(cosine, eps), FOUND))
     degree = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     roots = scratch.save(components(found.select(F.col("id").alias("u"), F.col("other").alias("v")), scratch))
     keyed = ordered.select("row", "label", "dim", "k1", "k2", "first")

@@ -309,7 +309,11 @@ def test_flight_keeps_totals():
     assert left.sum() <= 2 and math.isclose(out.sum(), prob.sum(), rel_tol=1e-6) and math.isclose(out @ size, prob @ size, rel_tol=1e-6)
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("block, fan", [(256, 8), (16, 2)])
+def test_vectors(spark, monkeypatch, block, fan):
+    """Small blocks make a tree of several levels."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "FAN", fan)
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(6, 16))
     rows = []
@@ -327,6 +331,8 @@ def test_vectors(spark):
     assert len(linked) > 1000
     assert got == Counter((r[0], degree[k], least[roots[k]], r[0] == least[roots[k]]) for k, r in enumerate(rows))
     assert vectors.near_vectors(empty(spark, "vec_id long, embedding array<float>, label int")).count() == 0
+    named = df.where("vec_id < 200").withColumn("label", F.concat(F.lit("l"), "label"))
+    assert {r.vec_id: r.n_links for r in vectors.near_vectors(named).collect()} == {r.vec_id: r.n_links for r in vectors.near_vectors(df.where("vec_id < 200")).collect()}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 41, 1000])
