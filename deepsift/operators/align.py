@@ -266,7 +266,7 @@ def _exactly(chances: list[float], most: int) -> float:
 
 def _source(min_bq: int, nonmatch: int | None):
     def one(read: dict) -> tuple[int | None, ...]:
-        if not read["ref"] or read["flag"] & 4 or len(read["qual"]) != len(read["seq"]):
+        if read["ref"] is None or read["flag"] & 4 or len(read["qual"]) != len(read["seq"]):
             return None, *[None] * len(KINDS)
         counts, quality = _operations(read, min_bq)
         wrong = sum(counts[1:])

@@ -174,6 +174,33 @@ def uniqueness(variants: DataFrame, other: DataFrame, freq: float | None = None)
     return met.withColumn("uq", F.when(F.col("other_dp").isNull() | (F.col("other_dp") == 0), 0).otherwise(prob_to_phred(p)))
 
 
+def uniqueness_of(variants: DataFrame, obs: DataFrame, freq: float | None = None, min_bq: int = 3) -> DataFrame:
+    """variants with UQ by the other sample's observations: substitutions by bases, insertions and deletions by events with the same bases.
+
+    A variant's depth there is that of all reads; without any UQ is 0. One aggregation counts what each position
+    shows, one join looks all variants up.
+    """
+    longer, shorter = F.length("alt") > F.length("ref"), F.length("alt") < F.length("ref")
+    what = F.when(longer, F.concat(F.lit("+"), F.substr("alt", F.lit(2)))).when(shorter, F.concat(F.lit("-"), F.substr("ref", F.lit(2)))).otherwise(F.col("alt"))
+    base = F.when((F.col("nt") < 4) & (F.col("bq") >= min_bq), F.substr(F.lit("ACGT"), F.col("nt").cast("int") + 1, F.lit(1)))
+    event = F.concat(F.when(F.col("kind") == "ins", "+").otherwise("-"), F.col("key")) if "kind" in obs.columns else F.lit(None).cast("string")
+    shown = F.array_distinct(F.filter(F.array(F.lit(""), base, event), lambda x: x.isNotNull()))  # '' counts the read itself
+    sites = obs.join(variants.select(*POSITION).distinct(), list(POSITION), "left_semi")
+    counts = sites.select(*POSITION, F.explode(shown).alias("_what")).groupBy(*POSITION, "_what").agg(F.count("*").alias("_n"))
+    depth = counts.where("_what = ''").select(*POSITION, F.col("_n").alias("other_dp"))
+    alts = counts.where("_what <> ''").select(*POSITION, "_what", F.col("_n").alias("other_alt"))
+    met = variants.withColumn("_what", what).join(depth, list(POSITION), "left").join(alts, [*POSITION, "_what"], "left").drop("_what")
+    met = met.withColumn("other_dp", F.coalesce("other_dp", F.lit(0))).withColumn("other_alt", F.coalesce("other_alt", F.lit(0)))
+    p = binomial_cdf("other_alt", "other_dp", F.lit(freq) if freq is not None else F.col("af"))
+    return met.withColumn("uq", F.when(F.col("other_dp") == 0, 0).otherwise(prob_to_phred(p)))
+
+
+def unique_by_mtc(df: DataFrame, method: str = "fdr", alpha: float = 0.001, ntests: int | None = None) -> DataFrame:
+    """Variants that are significantly unique by UQ after the named correction over ``ntests``, or all of them."""
+    p = F.when(F.col("uq") == MAX_PHRED, 0.0).otherwise(phred_to_prob("uq"))
+    return significant(df.withColumn("_chance", p), "_chance", method, alpha, ntests).where("rejected").drop("_chance", "rejected")
+
+
 def detectable(variants: DataFrame, other_errors: DataFrame, alpha: float = 0.01) -> DataFrame:
     """uniq: the frequency would have been found in the other sample, other_errors(chrom, pos, errors)."""
     met = variants.join(other_errors, list(POSITION), "left")
@@ -188,7 +215,7 @@ def unique_by_fdr(df: DataFrame, alpha: float = 0.001, strict: bool = False, nte
     p = F.when(F.col("uq") == MAX_PHRED, 0.0).otherwise(phred_to_prob("uq"))
     if not strict:
         return df.where(p <= alpha)
-    return significant(df.withColumn("_p", p), "_p", "fdr", alpha, ntests).where("rejected").drop("_p", "rejected")
+    return unique_by_mtc(df, "fdr", alpha, ntests)
 
 
 def somatic(tumor: DataFrame, normal: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -148,3 +148,56 @@ def drop_homopolymer_pairs(events: DataFrame, depth: DataFrame, least: float = 0
     met = events.join(depth, ["chrom", "pos"], "left")
     both = (F.count("*").over(w) == 2) & (F.max(af).over(w) < least) & F.col("key").isin("A", "T")
     return met.withColumn("_both", F.coalesce(both, F.lit(False))).where(~F.col("_both")).select(*events.columns)
+
+
+#: What a read puts on the reference, block by block: matched bases, or a gap; with the indel that follows a matched block.
+_PLACED = """
+  aggregate(sequence(0, size(ops) - 1), named_struct('r', pos, 'q', 0, 'out', cast(array() AS array<struct<r: bigint, q: int, len: int, gap: boolean, ins: int, del: int>>)),
+    (s, i) -> CASE
+      WHEN ops[i].op IN ('M', '=', 'X') THEN named_struct('r', s.r + ops[i].len, 'q', s.q + ops[i].len, 'out', concat(s.out, array(named_struct('r', s.r, 'q', s.q, 'len', ops[i].len, 'gap', false,
+        'ins', CASE WHEN get(ops, i + 1).op = 'I' THEN get(ops, i + 1).len ELSE 0 END, 'del', CASE WHEN get(ops, i + 1).op = 'D' THEN get(ops, i + 1).len ELSE 0 END))))
+      WHEN ops[i].op IN ('I', 'S') THEN named_struct('r', s.r, 'q', s.q + ops[i].len, 'out', s.out)
+      WHEN ops[i].op IN ('D', 'N') THEN named_struct('r', s.r + ops[i].len, 'q', s.q, 'out', concat(s.out, array(named_struct('r', s.r, 'q', s.q, 'len', ops[i].len, 'gap', true, 'ins', 0, 'del', 0))))
+      ELSE s END).out"""
+
+
+def column_observations(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """A row per read and reference position that it covers, deleted and skipped ones included, with what callers ask for.
+
+    chrom, pos, ref_nt, nt (null in a gap), bq, mq, baq, sq, is_rev, is_head, is_tail, kind and key of an indel right
+    after the position, iq and dq (tags BI and BD, 0 without), aq (tags ai and ad), qname. Alignment qualities come
+    from tag lb, source qualities from sq; null where there is none. A read brings its own stretch of the reference,
+    and only numbers leave it.
+    """
+    met = with_reference(reads.where((F.col("flag").bitwiseAND(4) == 0) & (F.size("ops") > 0)), contigs, F.lit(1)).withColumn("_end", F.col("pos") + F.expr(SPAN))
+    blocks = met.select("*", F.explode(F.expr(_PLACED)).alias("b"))
+    each = blocks.select("*", F.explode(F.expr("sequence(0, b.len - 1)")).alias("i"))
+    q = F.when(F.col("b.gap"), F.col("b.q")).otherwise(F.col("b.q") + F.col("i"))
+    at = F.col("b.r") + F.col("i")
+    tag = lambda name: F.try_element_at("tags", F.lit(name))
+    char = lambda name: F.when(F.length(tag(name)) > q, F.ascii(F.substring(tag(name), q + 1, F.lit(1))) - 33)
+    code = lambda base: F.when(F.instr(F.lit("ACGT"), base) > 0, F.instr(F.lit("ACGT"), base) - 1).otherwise(4)
+    last = ~F.col("b.gap") & (F.col("i") == F.col("b.len") - 1)
+    ins, dele = last & (F.col("b.ins") > 0), last & (F.col("b.del") > 0)
+    gone = F.rpad(F.coalesce(F.substring("ref", (at - F.col("ref_start") + 2).cast("int"), F.col("b.del")), F.lit("")), F.col("b.del"), F.lit("N"))
+    return each.select(
+        "qname", "chrom", at.alias("pos"), code(F.coalesce(F.substring("ref", (at - F.col("ref_start") + 1).cast("int"), F.lit(1)), F.lit("N"))).alias("ref_nt"),
+        F.when(~F.col("b.gap"), code(F.upper(F.substring("seq", q + 1, F.lit(1))))).alias("nt"), F.when(~F.col("b.gap"), F.coalesce(F.try_element_at("qual", q + 1), F.lit(0))).alias("bq"), F.col("mapq").alias("mq"),
+        char("lb").alias("baq"), tag("sq").try_cast("int").alias("sq"), (F.col("flag").bitwiseAND(16) != 0).alias("is_rev"), (~F.col("b.gap") & (at == F.col("pos"))).alias("is_head"), (~F.col("b.gap") & (at == F.col("_end") - 1)).alias("is_tail"),
+        F.when(ins, "ins").when(dele, "del").alias("kind"), F.when(ins, F.upper(F.substring("seq", F.col("b.q") + F.col("b.len") + 1, F.col("b.ins")))).when(dele, gone).alias("key"),
+        F.coalesce(char("BI"), F.lit(0)).alias("iq"), F.coalesce(char("BD"), F.lit(0)).alias("dq"), F.when(ins, char("ai")).when(dele, char("ad")).alias("aq"),
+    )
+
+
+def overlapping(reads: DataFrame, regions: DataFrame, bin_bits: int = 13) -> DataFrame:
+    """Reads that cover a base of some half-open region(chrom, beg, end).
+
+    A region stands in each bin where a read that reaches it can start, by the longest span of all reads; so a read is
+    looked up in one bin.
+    """
+    width = 1 << bin_bits
+    spanned = reads.withColumn("_end", F.col("pos") + F.expr(SPAN))
+    longest = spanned.agg(F.coalesce(F.max(F.col("_end") - F.col("pos")), F.lit(1)).alias("n")).first().n
+    bins = regions.where("end > beg").select(F.col("chrom").alias("_chrom"), "beg", "end", F.explode(F.sequence(F.expr(f"greatest(0, beg - {longest} + 1) div {width}"), F.expr(f"(end - 1) div {width}"))).alias("_bin"))
+    hit = (F.expr(f"pos div {width}") == F.col("_bin")) & (F.col("chrom") == F.col("_chrom")) & (F.col("beg") < F.col("_end")) & (F.col("end") > F.col("pos"))
+    return spanned.join(bins, hit, "left_semi").drop("_end")
