@@ -10,7 +10,7 @@ errors are spread over the segments, and two texts share a key of a band with a
 Pairs that share a key are verified in steps: sizes, the first 64 and then all whole words of bits of their fingerprints
 (limits that a linked pair is over with a chance under 1e-6), and then the shingles themselves, so a link is never wrong.
 
-A key's nodes are first held against two leaders. Keys whose nodes are then not all in one component are looked at again:
+A key's nodes are first held against a leader. Keys whose nodes are then not all in one component are looked at again:
 with up to ``SMALL`` nodes pair by pair of different components, larger ones within pairs of blocks of their nodes, which
 no pair leaves. So a crowded key costs rows in proportion to its members, for each block of them, and no key loses a pair.
 """
@@ -183,16 +183,17 @@ def _apart(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def likely(pairs: DataFrame, prints: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """The pairs whose sizes and whole fingerprints leave a similarity of SHARE possible; prints(id, size, w0, w1, ...)."""
-    side = lambda c: prints.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in PRINTS.names[1:]])
+    side = lambda c: prints.select(F.col("id").alias(c), F.struct(*PRINTS.names[1:]).alias(f"{c}_print"))
     met = pairs.join(side("p"), F.col(u) == F.col("p")).join(side("q"), F.col(v) == F.col("q"))
-    return met.where(_possible("p", "q")).select(*pairs.columns)
+    return met.where(_possible(F.col("p_print"), F.col("q_print"))).select(*pairs.columns)
 
 
-def _possible(a: str, b: str) -> Column:
+def _possible(a: Column, b: Column) -> Column:
+    """Of two structs with size, w0, w1, ..."""
     part, whole = SHARE
-    sizes = F.col(f"{a}_size"), F.col(f"{b}_size")
-    apart = sum((F.bit_count(F.col(f"{a}_w{i}").bitwiseXOR(F.col(f"{b}_w{i}"))) for i in range(1, COMPARED)), F.bit_count(F.col(f"{a}_w0").bitwiseXOR(F.col(f"{b}_w0"))))
-    return (whole * F.least(*sizes) >= part * F.greatest(*sizes)) & (apart <= F.when(F.least(*sizes) < SHORT, WIDE_RADIUS_SHORT).otherwise(WIDE_RADIUS))
+    apart = sum((F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"])) for i in range(1, COMPARED)), F.bit_count(a["w0"].bitwiseXOR(b["w0"])))
+    least = F.least(a["size"], b["size"])
+    return (whole * least >= part * F.greatest(a["size"], b["size"])) & (apart <= F.when(least < SHORT, WIDE_RADIUS_SHORT).otherwise(WIDE_RADIUS))
 
 
 def links(keyed: DataFrame, prints: DataFrame, texts_of, scratch: Scratch, small: int = SMALL) -> DataFrame:
@@ -201,15 +202,13 @@ def links(keyed: DataFrame, prints: DataFrame, texts_of, scratch: Scratch, small
     texts_of(pairs) gives (id, text); the saved table keyed(key, id, bits) has each id once for a key and is dropped;
     prints(id, size, w0, ...) has the nodes' whole fingerprints.
     """
-    item, drawn = F.struct("id", "bits"), F.struct(F.xxhash64("key", "id").alias("by"), "id", "bits")
-    found = [F.count("*").alias("n"), F.min(item).alias("lead"), F.min(drawn).alias("other"), F.max("id").alias("hi"), F.bit_xor("bits").alias("apart")]
+    found = [F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("lead"), F.max("id").alias("hi"), F.bit_xor("bits").alias("apart")]
     sizes = scratch.save(keyed.groupBy("key").agg(*found).where("n > 1"))
     # of two members the aggregate has all; most chance meetings end here
     pairs = sizes.where((F.col("n") == 2) & (F.bit_count("apart") <= RADIUS)).select(F.col("lead.id").alias("u"), F.col("hi").alias("v"))
-    shared = scratch.save(keyed.join(sizes.where("n > 2").select("key", "n", "lead", "other"), "key"))
-    for lead in ("lead", "other"):
-        stars = shared.where((F.col("id") != F.col(f"{lead}.id")) & _close("bits", f"{lead}.bits"))
-        pairs = pairs.unionByName(stars.select(F.least("id", f"{lead}.id").alias("u"), F.greatest("id", f"{lead}.id").alias("v")))
+    shared = scratch.save(keyed.join(sizes.where("n > 2").select("key", "n", "lead"), "key"))
+    stars = shared.where((F.col("id") != F.col("lead.id")) & _close("bits", "lead.bits"))
+    pairs = pairs.unionByName(stars.select(F.col("lead.id").alias("u"), F.col("id").alias("v")))
     pairs = scratch.save(likely(pairs.distinct(), prints))
     scratch.drop(keyed, sizes)
     edges = scratch.save(verified(pairs, texts_of(pairs), scratch))
@@ -217,13 +216,14 @@ def links(keyed: DataFrame, prints: DataFrame, texts_of, scratch: Scratch, small
     scratch.drop(shared)
     if left.isEmpty():
         return edges
-    members = left.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("id", "bits", "root")).alias("all"))
-    near = lambda x: F.filter("all", lambda y: (y["id"] > x["id"]) & (y["root"] != x["root"]) & _close(y["bits"], x["bits"]))
+    held = scratch.save(left.join(prints, "id"))
+    words = PRINTS.names[1:]
+    members = held.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("id", "bits", "root", *words)).alias("all"))
+    near = lambda x: F.filter("all", lambda y: (y["id"] > x["id"]) & (y["root"] != x["root"]) & _close(y["bits"], x["bits"]) & _possible(x, y))
     few = members.select(F.explode(F.flatten(F.transform("all", lambda x: F.transform(near(x), lambda y: F.struct(x["id"].alias("u"), y["id"].alias("v")))))).alias("p")).select("p.u", "p.v")
-    few = scratch.save(likely(few.distinct(), prints))
+    few = scratch.save(few.distinct())
     edges = scratch.save(edges.unionByName(verified(few, texts_of(few), scratch)))
-    crowded = scratch.save(left.where(F.col("n") > small).join(prints, "id"))
-    return scratch.save(edges.unionByName(_tiles(crowded, texts_of, scratch)))
+    return scratch.save(edges.unionByName(_tiles(held.where(F.col("n") > small), texts_of, scratch)))
 
 
 #: Members of a crowded key are dealt into blocks of about so many.
