@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from dataclasses import dataclass
 
@@ -19,8 +20,9 @@ FIT_DOCS, FIT_ALL = 400, 2400
 BUCKETS = 1 << 13
 CENTROIDS = 4
 UNKNOWN = "und"
-#: Two texts that share nothing are at cosine 0; below this share of what a language's own documents reach at least, a text is rejected.
-REJECT_SHARE = 0.3
+#: Every so many of a language's documents builds no centroid: they and cuts of them say how near a text of so many
+#: characters is at least. Below this share of that a text is rejected; one of a quantile in 500 sets it.
+HELD, LENGTHS, REJECT_SHARE, LOWEST = 4, (32, 64, 128, 256, 512), 0.6, 0.002
 #: A text of many characters is counted in parts of this size; the counts add up to those of the whole.
 PART = 1 << 18
 _M = np.uint32(2654435761)
@@ -55,7 +57,7 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray  # unit rows
     owner: np.ndarray
-    floor: np.ndarray  # a text below the floor of its language is rejected
+    floor: np.ndarray  # by language and length: a text below it is rejected
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine of the nearest centroid, rejected) of each text."""
@@ -69,10 +71,14 @@ class LanguageModel:
             best = cos.argmax(axis=1)
             for i, b, c in zip(at, best, cos.max(axis=1), strict=True):
                 k = int(self.owner[b])
-                out[i] = (self.languages[k], float(min(1.0, max(0.0, c))), bool(c < self.floor[k]))
+                out[i] = (self.languages[k], float(min(1.0, max(0.0, c))), bool(c < self.floor[k, length_class(texts[i])]))
         return out
 
 
+def length_class(text: str) -> int:
+    return bisect.bisect_right(LENGTHS, len(text))
+
+
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit rows of log-scaled counts times idf; ``counts`` itself is overwritten."""
     np.log1p(counts, out=counts)
@@ -105,24 +111,48 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     rows = sorted((t, g) for t, g in rows if has_letter(t))
     languages = sorted({g for _, g in rows})
     if not rows:
-        return LanguageModel([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+        return LanguageModel([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros((0, len(LENGTHS) + 1)))
     each = _each(len(languages))
     by_hash = sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))
     rows = sorted((r for g in languages for r in [x for x in by_hash if x[1] == g][:each]), key=lambda r: (r[1], r[0]))
+    held = [rows[i] for i in range(len(rows)) if i % HELD == HELD - 1]
+    if {g for _, g in held} == set(languages) and len(held) >= HELD * len(languages):
+        rows = [rows[i] for i in range(len(rows)) if i % HELD != HELD - 1]
+    else:
+        held = rows  # too few to set any aside
     counts = np.stack([grams(t) for t, _ in rows])
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1).astype(np.float32)
     x, of = weigh(counts, idf), np.array([languages.index(g) for _, g in rows])
-    centroids, owner, floor = [], [], []
+    centroids, owner = [], []
     for k in range(len(languages)):
-        own = _cluster(x[of == k], CENTROIDS, k)
-        centroids.append(own)
-        owner += [k] * len(own)
-        floor.append(REJECT_SHARE * float(np.quantile((x[of == k] @ own.T).max(axis=1), 0.001)))
-    return LanguageModel(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(floor))
+        centroids.append(_cluster(x[of == k], CENTROIDS, k))
+        owner += [k] * len(centroids[-1])
+    return LanguageModel(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), _floors(held, languages, idf, centroids))
+
+
+def _floors(held: list[tuple[str, str]], languages: list[str], idf: np.ndarray, centroids: list[np.ndarray]) -> np.ndarray:
+    """By language and length class, from texts and from cuts of them; a class without any has the floor of the one below."""
+    out = np.zeros((len(languages), len(LENGTHS) + 1))
+    for k, g in enumerate(languages):
+        near: list[list[float]] = [[] for _ in range(len(LENGTHS) + 1)]
+        texts = [t for t, own in held if own == g]
+        cuts = [t[at : at + n] for t in texts for n in (24, *(x + x // 2 for x in LENGTHS)) if n < len(t) for at in [zlib.crc32(t.encode("utf-8", "surrogatepass")) % (len(t) - n)]]
+        parts = [t for t in texts + cuts if has_letter(t)]
+        for lo in range(0, len(parts), 256):
+            some = parts[lo : lo + 256]
+            cos = (weigh(np.stack([grams(t) for t in some]), idf) @ centroids[k].T.astype(np.float32)).max(axis=1)
+            for t, c in zip(some, cos, strict=True):
+                near[length_class(t)].append(float(c))
+        for i, c in enumerate(near):
+            out[k, i] = REJECT_SHARE * float(np.quantile(c, LOWEST)) if c else out[k, i - 1] if i else 0.0
+    return out
 
 
 def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageModel:
-    """Fit on documents(doc_id, text, lang) with both text and lang, ``fit_docs`` of each language at most, by hash."""
+    """Fit on documents(doc_id, text, lang) with both text and lang, ``fit_docs`` of each language at most, by hash.
+
+    ``und`` is no language to learn: rows so labelled say that theirs is not known.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND lang <> 'und'").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), "lang")
     # A language with many rows is thinned by hash before its rows meet; four times what is needed is left.
     sizes = F.broadcast(known.groupBy("lang").agg(F.least(F.lit(1.0), 4.0 * fit_docs / F.count("*")).alias("share")))  # a row per language
