@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.text import ALIGNED
 from .pileup import homopolymer_runs
@@ -30,8 +29,8 @@ def position_qualities(bases: DataFrame) -> DataFrame:
     quality 0.
     """
     starts = homopolymer_runs(bases).select("chrom", (F.col("start") - 1).alias("pos"), "length")
-    last = F.lead("pos").over(Window.partitionBy("chrom").orderBy("pos")).isNull()
-    met = bases.select("chrom", "pos", last.alias("_last")).join(starts, ["chrom", "pos"], "left")
+    ends = bases.groupBy("chrom").agg(F.max("pos").alias("_end"))  # a row for each contig
+    met = bases.select("chrom", "pos").join(ends, "chrom").withColumn("_last", F.col("pos") == F.col("_end")).join(starts, ["chrom", "pos"], "left")
     length = F.coalesce("length", F.lit(1)).cast("int")
     q = F.when(F.col("_last") | (length >= len(BY_RUN)), NONE).otherwise(F.substring(F.lit(BY_RUN), length + 1, F.lit(1)))
     return met.select("chrom", "pos", q.alias("q"))
@@ -44,15 +43,15 @@ def by_homopolymer(reads: DataFrame, bases: DataFrame) -> DataFrame:
     Reads with a failing flag or without an alignment keep their tags.
     """
     one = reads.where(F.col("flag").bitwiseAND(LEFT_ALONE) == 0).select(*_READ, "ops").dropDuplicates(_READ)
-    blocks = one.select(*_READ, F.explode(F.expr(ALIGNED)).alias("b"))
-    each = blocks.select(*_READ, "b", F.explode(F.expr("sequence(0, b.len - 1)")).alias("i"))
-    at = each.select(*_READ, (F.col("b.r") + F.col("i")).alias("_at"), (F.col("b.q") + F.col("i")).alias("_q"))
+    blocks = one.select(F.xxhash64(*_READ).alias("_k1"), F.xxhash64(F.lit(1), *_READ).alias("_k2"), "chrom", F.explode(F.expr(ALIGNED)).alias("b"))
+    each = blocks.select("_k1", "_k2", "chrom", "b", F.explode(F.expr("sequence(0, b.len - 1)")).alias("i"))
+    # a base carries its read's key, not the read
+    at = each.select("_k1", "_k2", "chrom", (F.col("b.r") + F.col("i")).alias("_at"), (F.col("b.q") + F.col("i")).alias("_q"))
     found = at.join(position_qualities(bases).select("chrom", F.col("pos").alias("_at"), "q"), ["chrom", "_at"])
-    kept = found.groupBy(*_READ).agg(F.map_from_entries(F.collect_list(F.struct("_q", "q"))).alias("_by"))
+    kept = found.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct("_q", "q"))).alias("_by"))
+    met = reads.withColumns({"_k1": F.xxhash64(*_READ), "_k2": F.xxhash64(F.lit(1), *_READ)}).join(kept, ["_k1", "_k2"], "left")
     whole = F.array_join(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.coalesce(F.try_element_at("_by", i), F.lit(NONE))), "")
-    quals = kept.select(*[F.col(c).alias(f"_k_{c}") for c in _READ], whole.alias("_chars"))
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in _READ]
-    met = reads.join(quals, same, "left").drop(*[f"_k_{c}" for c in _READ])
+    met = met.withColumn("_chars", F.when(F.col("_by").isNotNull() & (F.col("flag").bitwiseAND(LEFT_ALONE) == 0), whole)).drop("_k1", "_k2", "_by")
     return _tagged(met, F.col("_chars"), F.col("_chars")).drop("_chars")
 
 
@@ -60,3 +59,11 @@ def _tagged(reads: DataFrame, ins, dele) -> DataFrame:
     """BI and BD set where they are known, any older ones replaced."""
     rest = F.map_filter("tags", lambda k, v: ~k.isin("BI", "BD"))
     return reads.withColumn("tags", F.when(ins.isNull(), F.col("tags")).otherwise(F.map_concat(rest, F.create_map(F.lit("BI"), ins, F.lit("BD"), dele))))
+
+
+def parse_uniform(text: str) -> tuple[int, int]:
+    """(insertion, deletion) quality of "I" or "I,D"."""
+    parts = [int(x) for x in text.split(",")]
+    if not 1 <= len(parts) <= 2 or min(parts) < 0:
+        raise ValueError(f"not a quality or two: {text}")
+    return parts[0], parts[-1]

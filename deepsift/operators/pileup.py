@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.quality import MAX_PHRED, phred_to_prob
+from .order import binned, neighbours, running
 
 SITE = ["chrom", "pos"]
 MIN_PLP_BQ = 3
@@ -73,9 +74,8 @@ def alt_counts(obs: DataFrame) -> DataFrame:
 
 def homopolymer_runs(contigs: DataFrame) -> DataFrame:
     """Runs of one base along contigs(chrom, pos, base): chrom, start, base, length."""
-    own = Window.partitionBy("chrom").orderBy("pos")
-    fresh = F.when(F.lag("base").over(own) == F.col("base"), 0).otherwise(1)
-    runs = contigs.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(own))
+    last = neighbours(binned(contigs), ["pos"], {"_last": F.col("base")})
+    runs = running(last.withColumn("_new", F.when(F.col("_last") == F.col("base"), 0).otherwise(1)), ["pos"], "_new", "_run")
     return runs.groupBy("chrom", "_run").agg(F.min("pos").alias("start"), F.first("base").alias("base"), F.count("*").alias("length")).drop("_run")
 
 

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import is_transition, substitution
+from .mtc import _ranked
 
 POINTS = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 
 
 def distribution(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """A row per named value: smallest, percentiles with linear interpolation, largest. Nulls don't count."""
-    out = None
-    for name, value in values.items():
-        v = value.cast("double")
-        aggs = [F.min(v).alias("min"), *[F.percentile(v, F.lit(p)).alias(k) for k, p in POINTS.items()], F.max(v).alias("max")]
-        row = df.agg(*aggs).select(F.lit(name).alias("property"), *[F.round(k, 6).alias(k) for k in ("min", *POINTS, "max")])
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row per named value: smallest, percentiles with linear interpolation, largest. Nulls don't count.
+
+    One scan counts the different values of all; ranks come from those counts, bucket by bucket.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("property"), v.cast("double").alias("value")) for n, v in values.items()]))
+    ranked = _ranked(df.select(named.alias("x")).select("x.property", "x.value"), "value", ["property"])
+    whole = ranked.groupBy("property").agg(F.sum("_n").alias("all"))  # a row for each property
+    met = ranked.join(whole, "property")
+    at = lambda share: F.lit(share) * (F.col("all") - 1)
+    held = lambda rank: F.max(F.when((rank < F.col("_last")) & (rank >= F.col("_last") - F.col("_n")), F.col("_p")))
+    ends = [x for k, p in POINTS.items() for x in (held(F.floor(at(p))).alias(f"{k}_lo"), held(F.ceil(at(p))).alias(f"{k}_hi"))]
+    found = met.groupBy("property", "all").agg(F.min("_p").alias("min"), F.max("_p").alias("max"), *ends)
+    points = {k: F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (at(p) - F.floor(at(p))) for k, p in POINTS.items()}
+    return found.select("property", F.round("min", 6).alias("min"), *[F.round(v, 6).alias(k) for k, v in points.items()], F.round("max", 6).alias("max"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
