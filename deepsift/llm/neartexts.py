@@ -148,7 +148,6 @@ def _alike(batches):
                 last, own = u, shingles(words_of(a))
             hit.append(alike(own, shingles(words_of(t))))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
-    pa.default_memory_pool().release_unused()  # pairs are wide; the worker stays for later stages
 
 
 def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:

@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import INT, LONG, Scratch, fields, number_rows, slices
+from .common import INT, LONG, Scratch, fields, number_rows, slices, tidy
 
 LENGTH = 4096
 #: Class widths: multiples of UNIT tokens, above FINE tokens growing by 1/FINE_STEPS each.
 UNIT, FINE, FINE_STEPS = 8, 256, 64
 END_ID = 2
-#: A word's ids are kept while it is among the last so many to twice as many different words of a Python worker.
+#: A word's ids are kept, within a task, while it is among the last so many to twice as many different words of a Python worker.
 CACHE_WORDS = 250_000
 #: Texts of so many bytes in all are split into words at once.
 TOGETHER_BYTES = 1 << 20
@@ -110,6 +110,9 @@ class _Words:
             for w, tail, start, end in zip(new[part], tails[part], [0, *cuts], cuts, strict=False):
                 self.young[w] = raw[start:end] + tail
 
+    def forget(self) -> None:
+        self.young, self.old, self.marks = {}, {}, {"": b""}
+
     def encode(self, text: bytes) -> bytes:
         return pack_ids(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
@@ -153,6 +156,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                     rows.append((i, s, len(part) // 4, zlib.crc32(part), n))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], PIECES.names)
+        words.forget()
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES)
 
