@@ -57,7 +57,7 @@ def illumina13(qual: Column | str) -> Column:
 
 def sanger_char(p: Column | str) -> Column:
     """A probability as a quality character between 33 and 126."""
-    q = F.least(F.lit(126), F.greatest(F.lit(33), F.lit(33) + prob_to_phred(p)))
+    q = F.least(F.lit(126), F.lit(33) + F.least(F.lit(93), prob_to_phred(p)))
     return F.char(q)
 
 

@@ -73,6 +73,16 @@ def fisher_two_sided(a: Column | str, b: Column | str, c: Column | str, d: Colum
     return F.least(F.lit(1.0), F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.when(x < own + 1e-8, F.exp(x)).otherwise(0.0)))
 
 
+def fisher_one_sided(a: Column | str, b: Column | str, c: Column | str, d: Column | str) -> tuple[Column, Column]:
+    """Of the table a b / c d: the chances of its first cell being a or less, and a or more."""
+    a, b, c, d = (col(x).cast("long") for x in (a, b, c, d))
+    row, column, n = a + b, a + c, a + b + c + d
+    low, high = F.greatest(F.lit(0).cast("long"), row + column - n), F.least(row, column)
+    mass = lambda k: F.exp(log_choose(row, k) + log_choose(n - row, column - k) - log_choose(n, column))
+    total = lambda lo, hi: F.least(F.lit(1.0), F.aggregate(F.transform(F.sequence(lo, hi), mass), F.lit(0.0), lambda s, x: s + x))
+    return total(low, a), total(a, high)
+
+
 def strand_bias(ref_fw: Column | str, ref_rv: Column | str, alt_fw: Column | str, alt_rv: Column | str) -> Column:
     """Phred of Fisher's test; without reference bases and with alternatives on one strand it is infinite."""
     ref_fw, ref_rv, alt_fw, alt_rv = map(col, (ref_fw, ref_rv, alt_fw, alt_rv))
@@ -109,3 +119,9 @@ def log_sum(a: Column | str, b: Column | str) -> Column:
     """ln(e^a + e^b)."""
     hi, lo = F.greatest(col(a), col(b)), F.least(col(a), col(b))
     return hi + F.log1p(F.exp(lo - hi))
+
+
+def log_diff(a: Column | str, b: Column | str) -> Column:
+    """ln(e^a - e^b) for a over b; minus infinity where they are equal."""
+    a, b = col(a), col(b)
+    return F.when(a <= b, F.lit(float("-inf"))).otherwise(a + F.log(-F.expm1(b - a)))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quality import prob_to_phred
 from ..functions.tests import combine_two, normal_tail
+from .mtc import METHODS, significant
 
 _SITE = ["chrom", "pos", "ref_nt", "alt_nt"]
 
@@ -41,3 +43,14 @@ def bias_test(variants: DataFrame, obs: DataFrame) -> DataFrame:
     for name, prop in (("mb_p", "mq"), ("bb_p", "bq")):
         variants = variants.join(rank_sum(variants, obs, prop).withColumnRenamed("p", name), _SITE, "left")
     return variants.withColumn("cb_p", F.least(F.lit(1.0), combine_two("mb_p", "bb_p")))
+
+
+def bias_filter(variants: DataFrame, obs: DataFrame, tag: str = "bb", method: str = "fdr", alpha: float = 0.001, ntests: int | None = None) -> DataFrame:
+    """variants with mb, bb and cb (phreds of bias_test) and a tag in ``filter`` for those whose ``tag`` is significant after the correction."""
+    if tag not in ("mb", "bb", "cb"):
+        raise ValueError(f"no such test: {tag}")
+    tested = significant(bias_test(variants, obs), f"{tag}_p", method, alpha, ntests)
+    held = F.when(F.col("filter").isNull() | F.col("filter").isin(".", "PASS"), F.array().cast("array<string>")).otherwise(F.split("filter", ";"))
+    name = F.when(F.col("rejected"), F.array(F.lit(f"{tag}_{METHODS[method]}"))).otherwise(F.array().cast("array<string>"))
+    marked = F.coalesce(F.nullif(F.array_join(F.concat(held, name), ";"), F.lit("")), F.lit("PASS"))
+    return tested.withColumns({c: prob_to_phred(f"{c}_p") for c in ("mb", "bb", "cb")} | {"filter": marked}).drop("rejected", "mb_p", "bb_p", "cb_p")

@@ -88,3 +88,41 @@ def run_length_right(contigs: DataFrame) -> DataFrame:
 
 def infinite(c: Column) -> Column:
     return c == MAX_PHRED
+
+
+def indel_summary(obs: DataFrame) -> DataFrame:
+    """chrom, pos, heads, tails, ins, dels, deleted: reads that start or end at a column, with an indel after it, or with a gap there."""
+    return obs.groupBy(*SITE).agg(
+        F.count_if("is_head").alias("heads"), F.count_if("is_tail").alias("tails"), F.count_if(F.col("kind") == "ins").alias("ins"), F.count_if(F.col("kind") == "del").alias("dels"), F.count_if(F.col("nt").isNull()).alias("deleted")
+    )
+
+
+def quality_lists(obs: DataFrame, min_bq: int = MIN_PLP_BQ) -> DataFrame:
+    """chrom, pos, what, bq, mq, baq: sorted qualities by base, and of an indel event (what: its sign and bases) its own, mapping and alignment quality."""
+    base = obs.where((F.col("nt") < 4) & (F.col("bq") >= min_bq)).select(*SITE, F.substr(F.lit(BASES), F.col("nt").cast("int") + 1, F.lit(1)).alias("what"), "bq", "mq", "baq")
+    sign = F.when(F.col("kind") == "ins", "+").otherwise("-")
+    event = obs.where(F.col("kind").isNotNull()).select(*SITE, F.concat(sign, "key").alias("what"), F.when(F.col("kind") == "ins", F.col("iq")).otherwise(F.col("dq")).alias("bq"), "mq", F.col("aq").alias("baq"))
+    return base.unionByName(event).groupBy(*SITE, "what").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in ("bq", "mq", "baq")])
+
+
+def printed(obs: DataFrame) -> DataFrame:
+    """A line for each column: contig, position from 1, reference base, depth, then bases with their forward and reverse counts."""
+    counts = [F.concat(F.lit(f"{b}:"), F.count_if((F.col("nt") == i) & ~F.col("is_rev") & (F.col("bq") >= MIN_PLP_BQ)).cast("string"), F.lit("/"), F.count_if((F.col("nt") == i) & F.col("is_rev") & (F.col("bq") >= MIN_PLP_BQ)).cast("string")).alias(b) for i, b in enumerate(BASES)]
+    sums = obs.groupBy(*SITE, "ref_nt").agg(F.count("*").alias("n"), *counts)
+    ref = F.substr(F.lit(BASES + "N"), F.col("ref_nt").cast("int") + 1, F.lit(1))
+    return sums.select(*SITE, F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), ref, F.col("n").cast("string"), *BASES).alias("line"))
+
+
+def tool_filter(reads: DataFrame, flag: str = "flag") -> DataFrame:
+    """Drops unmapped, secondary, failed and duplicate reads, as the tools beside the caller do."""
+    return read_filter(reads, flag)
+
+
+def statistics_filter(reads: DataFrame, min_mq: int = 0, need: int = 0, avoid: int = 0x704 | 0x800) -> DataFrame:
+    """Reads for statistics: mapping quality, flags that have to be set, flags that must not (supplementary ones too)."""
+    return reads.where((F.col("mapq") >= min_mq) & (F.col("flag").bitwiseAND(need) == need) & (F.col("flag").bitwiseAND(avoid) == 0))
+
+
+def contigs_with_reads(contigs: DataFrame, reads: DataFrame) -> DataFrame:
+    """Contigs that some read is mapped to."""
+    return contigs.join(reads.where(F.col("flag").bitwiseAND(4) == 0).select("chrom"), "chrom", "left_semi")

@@ -89,3 +89,15 @@ def check_reference(header: DataFrame, contigs: DataFrame) -> DataFrame:
     """Contigs of header(chrom, len) that the reference lacks or has at another length."""
     ref = contigs.select("chrom", F.col("len").alias("ref_len"))
     return header.join(ref, "chrom", "left").where(F.col("ref_len").isNull() | (F.col("ref_len") != F.col("len"))).select("chrom", "len", "ref_len")
+
+
+def consensus_variants(df: DataFrame) -> DataFrame:
+    """One row: variants, and those that are consensus variants (flag ``consvar``)."""
+    return df.agg(F.count("*").alias("variants"), F.count_if(F.coalesce("consvar", F.lit(False))).alias("consensus"))
+
+
+def haplotypes(contig: str, variants: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """A cluster's haplotype: the contig with its variants put in, from right to left so that lengths do not matter."""
+    edits = F.reverse(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt"))))
+    put = F.aggregate(edits, F.lit(contig), lambda s, x: F.overlay(s, x["alt"], (x["pos"] + 1).cast("int"), F.length(x["ref"])))
+    return variants.groupBy(cluster).agg(put.alias("seq"))

@@ -129,12 +129,14 @@ def _side(df: DataFrame, only_passed: bool, only: str | None) -> DataFrame:
 def intersect(a: DataFrame, b: DataFrame, only_pos: bool = False, only_passed: bool = False, only: str | None = None) -> DataFrame:
     """Rows of a, repeats included, that are in b by allele or position. The shorter side builds, by Spark's choice."""
     keys = list(POSITION if only_pos else KEYS)
+    a = a if only_pos else require_single_alleles(a)
     return _side(a, only_passed, only).join(_side(b, only_passed, only).select(*keys), keys, "left_semi")
 
 
 def complement(a: DataFrame, b: DataFrame, only_pos: bool = False, only_passed: bool = False, only: str | None = None) -> DataFrame:
     """Rows of a, repeats included, that are not in b."""
     keys = list(POSITION if only_pos else KEYS)
+    a = a if only_pos else require_single_alleles(a)
     return _side(a, only_passed, only).join(_side(b, only_passed, only).select(*keys), keys, "left_anti")
 
 

@@ -44,6 +44,23 @@ def cigar_ops(cigar: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)([MIDNSHP=X])"), 0), lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.regexp_extract(x, r"\d+", 0).cast("int").alias("len")))
 
 
+def cigar_text(ops: Column | str) -> Column:
+    """The text of an array of (op, len), '*' for none."""
+    c = F.col(ops) if isinstance(ops, str) else ops
+    return F.coalesce(F.nullif(F.array_join(F.transform(c, lambda x: F.concat(x["len"].cast("string"), x["op"])), ""), F.lit("")), F.lit("*"))
+
+
+def write_sam(reads: DataFrame, path: str, header: list[str] | None = None, contigs: DataFrame | None = None) -> None:
+    """Reads as SAM text in genome order, header lines first; mates are not kept. Refuses an existing path."""
+    tags = F.transform(F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>")))), lambda x: F.concat(x["key"], F.when(x["value"].rlike("^-?[0-9]+$"), ":i:").otherwise(":Z:"), x["value"]))
+    qual = F.when(F.size("qual") > 0, F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")).otherwise("*")
+    line = F.concat_ws("\t", "qname", F.col("flag").cast("string"), F.coalesce("chrom", F.lit("*")), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", qual, F.array_join(tags, "\t"))
+    placed = reads.join(F.broadcast(contigs.select("chrom", "contig_no")), "chrom", "left") if contigs is not None else reads.withColumn("contig_no", F.col("chrom"))  # a row for each contig
+    body = placed.orderBy(F.col("contig_no").asc_nulls_last(), "pos", "qname", "flag").select(F.rtrim(line, F.lit("\t")).alias("value"))
+    head = reads.sparkSession.createDataFrame([(x,) for x in header or ["@HD\tVN:1.6\tSO:coordinate"]], "value string").coalesce(1)
+    head.unionByName(body).write.mode("errorifexists").text(path)
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """qname, flag, chrom (null for '*'), pos (0-based), mapq, cigar, ops, seq, qual (array), tags (map) of SAM text."""
     f = F.split("value", "\t")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,13 @@ INFO = (
     ("DP", "1", "Integer", "Raw Depth"), ("AF", "1", "Float", "Allele Frequency"), ("SB", "1", "Integer", "Phred-scaled strand bias at this position"),
     ("DP4", "4", "Integer", "Counts for ref-forward bases, ref-reverse, alt-forward and alt-reverse bases"), ("INDEL", "0", "Flag", "Indicates that the variant is an INDEL."),
     ("CONSVAR", "0", "Flag", "Indicates that the variant is a consensus variant (as opposed to a low frequency variant)."), ("HRUN", "1", "Integer", "Homopolymer length to the right of report indel position"),
+    ("HQA", "1", "Integer", "Number of high-quality alternative bases"),
 )
 COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
 
 
-def new_header(source: str, day: date | None = None) -> list[str]:
-    out = ["##fileformat=VCFv4.0", f"##fileDate={(day or date.today()):%Y%m%d}", f"##source={source}"]
+def new_header(source: str, day: date | None = None, reference: str | None = None) -> list[str]:
+    out = ["##fileformat=VCFv4.0", f"##fileDate={(day or date.today()):%Y%m%d}", f"##source={source}", *([f"##reference={reference}"] if reference else [])]
     return [*out, *[f'##INFO=<ID={i},Number={n},Type={t},Description="{d}">' for i, n, t, d in INFO], "\t".join(COLUMNS)]
 
 
@@ -53,7 +55,9 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Header lines in order; a header is small and comes to the driver. Without one, the minimal header."""
-    lines = [r.value for r in spark.read.text(path).where(F.startswith("value", F.lit("#"))).limit(10_000).collect()]
+    numbered = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    first = numbered.where(F.startswith("value", F.lit("#"))).orderBy("_at").limit(10_000)  # part files and lines in order
+    lines = [r.value for r in first.collect()]
     return lines or ["\t".join(COLUMNS)]
 
 
@@ -63,6 +67,10 @@ def format_info(df: DataFrame) -> DataFrame:
     parts = [F.concat(F.lit("DP="), F.col("dp")), F.concat(F.lit("AF="), F.format_string("%f", F.col("af").cast("double"))), F.concat(F.lit("SB="), F.col("sb")), F.concat(F.lit("DP4="), F.concat_ws(",", "ref_fw", "ref_rv", "alt_fw", "alt_rv"))]
     if "indel" in has:
         parts += [F.when(F.col("indel"), F.lit("INDEL")), F.when(F.col("indel"), F.concat(F.lit("HRUN="), F.col("hrun")))]
+    if "hqa" in has:
+        parts.append(F.concat(F.lit("HQA="), F.when(~F.col("indel"), F.col("hqa")) if "indel" in has else F.col("hqa")))
+    if "consvar" in has:
+        parts.append(F.when(F.col("consvar"), F.lit("CONSVAR")))
     return df.withColumn("info", F.concat_ws(";", *parts))
 
 
@@ -90,5 +98,44 @@ def write_vcf(df: DataFrame, path: str, header: list[str] | None = None, contigs
 
 
 def add_genotypes(df: DataFrame, samples: int) -> DataFrame:
-    """A GT column of '.' for each sample."""
-    return df.withColumn("format", F.lit("GT")).withColumn("samples", F.array_repeat(F.lit("."), samples))
+    """A GT column of '.' for each sample; an error where there is another format already."""
+    other = F.coalesce(F.col("format") != "GT", F.lit(False)) if "format" in df.columns else F.lit(False)
+    checked = F.when(other, F.raise_error(F.concat(F.lit("samples of another format: "), F.col("format"))).cast("string")).otherwise(F.lit("GT")) if "format" in df.columns else F.lit("GT")
+    return df.withColumn("format", checked).withColumn("samples", F.array_repeat(F.lit("."), samples))
+
+
+#: What a sample column tells of a variant's column in a sample.
+SAMPLE_FORMAT = ("dp", "ref_n", "alt_n", "alt_bq_min", "alt_bq_max", "alt_mq_min", "alt_mq_max")
+
+
+def add_samples(df: DataFrame, samples: list[DataFrame]) -> DataFrame:
+    """df with a format and a column for each sample's annotation (``summary.sample_annotation``), '.' without one."""
+    keys = ["chrom", "pos", "ref", "alt"]
+    out = df.withColumn("format", F.lit(":".join(c.upper() for c in SAMPLE_FORMAT)))
+    texts = []
+    for i, s in enumerate(samples):
+        told = F.concat_ws(":", *[F.col(c).cast("string") for c in SAMPLE_FORMAT]).alias(f"_s{i}")
+        out = out.join(s.select(*keys, told), keys, "left")
+        texts.append(F.coalesce(f"_s{i}", F.lit(".")))
+    return out.withColumn("samples", F.array(*texts)).drop(*[f"_s{i}" for i in range(len(samples))])
+
+
+def header_types(header: list[str], kind: str = "INFO") -> dict[str, tuple[str, str]]:
+    """Number and type by id of a header's INFO or FORMAT lines."""
+    found = (re.match(rf"##{kind}=<ID=([^,]+),Number=([^,]+),Type=([^,>]+)", x) for x in header)
+    return {m[1]: (m[2], m[3]) for m in found if m}
+
+
+def typed_info(df: DataFrame, header: list[str]) -> DataFrame:
+    """df with a column info_<id> for each INFO declaration: flags as booleans, numbers as such, lists where the header says so."""
+    kinds = {"Integer": "int", "Float": "double"}
+    columns = {}
+    for name, (number, kind) in header_types(header).items():
+        text = info_value("info", name)
+        if kind == "Flag" or number == "0":
+            columns[f"info_{name}"] = text.isNotNull()
+        elif number == "1":
+            columns[f"info_{name}"] = text.try_cast(kinds[kind]) if kind in kinds else text
+        else:
+            columns[f"info_{name}"] = F.split(text, ",") if kind not in kinds else F.split(text, ",").try_cast(f"array<{kinds[kind]}>")
+    return df.withColumns(columns)
