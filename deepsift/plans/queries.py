@@ -510,3 +510,45 @@ FROM v JOIN m ON m.chrom = v.chrom AND m.pos = v.pos AND m.alt_nt = v.alt_nt JOI
 def bias_test(spark, sf_dir):
     observed = W.obs(spark, sf_dir)
     return bias.bias_test(W.variants(observed), observed).select(*CALLS, *[F.round(c, 6).alias(c) for c in ("mb_p", "bb_p", "cb_p")])
+
+
+_SHOWN = ", ".join(f"'{b}:' || count(*) FILTER (nt = {i} AND NOT is_rev AND bq >= 3) || '/' || count(*) FILTER (nt = {i} AND is_rev AND bq >= 3)" for i, b in enumerate("ACGT"))
+
+
+@query(f"WITH {W.raw_sql()} SELECT chrom, pos, concat_ws(chr(9), chrom, pos + 1, substr('ACGTN', 1 + ref_nt, 1), count(*), {_SHOWN}) AS line FROM raw GROUP BY chrom, pos, ref_nt")
+def pileup_lines(spark, sf_dir):
+    return pileup.printed(W.raw_obs(spark, sf_dir))
+
+
+@query(f"""WITH {W.raw_sql()} SELECT chrom, pos, count(*) FILTER (is_head) AS heads, count(*) FILTER (is_tail) AS tails, count(*) FILTER (kind = 'ins') AS ins, count(*) FILTER (kind = 'del') AS dels,
+       count(*) FILTER (nt IS NULL) AS deleted FROM raw GROUP BY chrom, pos""")
+def indel_summary(spark, sf_dir):
+    return pileup.indel_summary(W.raw_obs(spark, sf_dir))
+
+
+@query(f"""WITH {W.raw_sql()}, w AS (
+  SELECT chrom, pos, substr('ACGT', 1 + nt, 1) AS what, bq, mq, baq FROM raw WHERE nt < 4 AND bq >= 3
+  UNION ALL SELECT chrom, pos, CASE kind WHEN 'ins' THEN '+' ELSE '-' END || key, CASE kind WHEN 'ins' THEN iq ELSE dq END, mq, aq FROM raw WHERE kind IS NOT NULL)
+SELECT chrom, pos, what, count(*) AS n, sum(bq) AS bq_sum, min(mq) AS mq_min, max(baq) AS baq_max FROM w GROUP BY chrom, pos, what""")
+def quality_lists(spark, sf_dir):
+    """Digests of the lists: their lengths, sums and ends."""
+    lists = pileup.quality_lists(W.raw_obs(spark, sf_dir).withColumn("bq", F.least(F.col("bq"), F.lit(93))))
+    total = F.aggregate("bq", F.lit(0).cast("long"), lambda a, x: a + x)
+    return lists.select("chrom", "pos", "what", F.size("bq").cast("long").alias("n"), total.alias("bq_sum"), F.array_min("mq").alias("mq_min"), F.array_max("baq").alias("baq_max"))
+
+
+@query(f"""WITH {W.raw_sql()}, {W.obs_sql()}, {W.variants_sql()}, depths AS (SELECT chrom, pos, count(*) AS n FROM raw GROUP BY chrom, pos
+), looked AS (
+  SELECT v.chrom, v.pos, v.ref, v.alt, v.af, d.n, (SELECT count(*) FROM raw r WHERE r.chrom = v.chrom AND r.pos = v.pos AND CASE WHEN length(v.alt) > length(v.ref) THEN r.kind = 'ins' AND r.key = substr(v.alt, 2)
+    ELSE r.nt < 4 AND r.bq >= 3 AND substr('ACGT', 1 + r.nt, 1) = v.alt END) AS k FROM v LEFT JOIN depths d ON d.chrom = v.chrom AND d.pos = v.pos)
+SELECT chrom, pos, ref, alt, coalesce(n, 0) AS other_dp, k AS other_alt, {_UQ} AS uq FROM looked""")
+def uniq_events(spark, sf_dir):
+    """Substitutions by bases and insertions by events of the same bases in the other sample."""
+    return V.uniqueness_of(_vs(spark, sf_dir), W.raw_obs(spark, sf_dir)).select(*CALLS, "other_dp", "other_alt", "uq")
+
+
+@query(f"""WITH {W.obs_sql()}, {W.variants_sql()}, nearest AS (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos) AS before, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS after FROM (SELECT DISTINCT chrom, pos FROM v))
+SELECT chrom, count(*) AS sites, count(*) FILTER (coalesce(pos - before <= 2, false) OR coalesce(after - pos <= 2, false)) AS crowded FROM nearest GROUP BY chrom""")
+def crowded_sites(spark, sf_dir):
+    near = order.crowded(_vs(spark, sf_dir), 2).select("chrom", "pos", "crowded").distinct()
+    return near.groupBy("chrom").agg(F.count("*").alias("sites"), F.count_if("crowded").alias("crowded"))

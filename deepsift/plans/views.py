@@ -28,7 +28,7 @@ _RAW = {
     "baq": "CAST(CASE WHEN l_orderkey % 7 = 0 THEN -1 ELSE 20 + 2 * CAST(round(l_discount * 100) AS INT) END AS INT)", "sq": "CAST(10 + l_suppkey % 30 AS INT)", "is_rev": "l_linestatus = 'F'",
     "kind": "CASE WHEN (l_orderkey * 11 + l_suppkey * 7 + l_linenumber * 17) % 100 < CASE WHEN l_partkey % 57 = 0 THEN 95 WHEN l_partkey % 19 = 0 THEN 22 ELSE 1 END THEN CASE WHEN l_linenumber % 3 = 0 THEN 'ins' ELSE 'del' END END",
     "key": "substr('ACGTTA', CAST(1 + p_size % 4 AS INT), CAST(1 + (l_linenumber + p_size) % 2 AS INT))", "iq": "CAST(20 + l_linenumber * 3 AS INT)", "dq": "CAST(16 + l_linenumber * 4 AS INT)",
-    "aq": "CAST(20 + l_suppkey % 20 AS INT)", "is_tail": "l_orderkey % 37 = 0",
+    "aq": "CAST(20 + l_suppkey % 20 AS INT)", "is_tail": "l_orderkey % 37 = 0", "is_head": "l_orderkey % 41 = 0",
 }
 
 

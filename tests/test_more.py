@@ -176,3 +176,25 @@ def test_bam(spark, tmp_path):
     (tmp_path / "bad.bam").write_bytes(packed(rows, [("c1", 100), ("c2", 50)])[:-400])
     with pytest.raises(Exception, match="ends within|cut one"):
         bam.read_bam(spark, str(tmp_path / "bad.bam")).collect()
+
+
+def test_error_profile(spark):
+    from deepsift.operators import align
+
+    rows = [("c", 0, 0, 0, 30), ("c", 0, 1, 0, 10), ("c", 1, 2, 0, 20), ("c", 2, 3, 3, 20), ("c", 2, 4, 3, 20)]
+    got = align.error_profile(spark.createDataFrame(rows, "chrom string, place int, nt int, ref_nt int, bq int"))
+    assert {r.place: (r.used, round(r.error, 6)) for r in got.collect()} == {0: (2, 0.45), 1: (1, 0.99), 2: (1, 0.0)}
+    assert {r.place: round(r.error, 6) for r in align.normalised_profile(got).collect()} == {0: 1.0, 1: 2.2, 2: 0.0}
+
+
+def test_prepared_reads(spark):
+    """Realigned, with indel qualities: the steps before a call."""
+    from deepsift.operators import workflow
+
+    seq = "ACGTTTACGGATCCATTTTTGACCAGTACG" * 3
+    contigs = spark.createDataFrame([("c", seq)], "chrom string, seq string")
+    schema = "qname string, flag int, chrom string, pos long, mapq int, cigar string, seq string, qual array<int>, tags map<string,string>"
+    reads = spark.createDataFrame([("a", 0, "c", 12, 60, "10M1I2M1D17M", seq[12:42], [30] * 30, {}), ("b", 4, None, 0, 0, "*", "ACG", [30] * 3, {})], schema).withColumn("ops", text.cigar_ops("cigar"))
+    got = {r.qname: r for r in workflow.prepared(reads, contigs).collect()}
+    assert got["a"].cigar == "30M" and len(got["a"].tags["BI"]) == 30 == len(got["a"].tags["BD"]) and got["b"].tags == {}
+    assert {r.qname: r.tags for r in workflow.prepared(reads, contigs, uniform=(30, 20)).collect()}["a"] == {"BI": "?" * 30, "BD": "5" * 30}
