@@ -27,6 +27,8 @@ BLOCK = 4096
 LAST = 12
 #: One row per source comes to the driver; more sources than this are an error, not a silent cut.
 MAX_SOURCES = 1_000_000
+#: Plans of so many sources are broadcast; those of more meet their rows by a shuffle.
+BROADCAST_SOURCES = 10_000
 _EPS = 1e-9
 
 
@@ -152,7 +154,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7, block:
         whole = min(cap, math.floor(rate))
         plan.append((r.source, r.words, float(targets[r.source]), whole, float(rate - whole), float(targets[r.source] - whole * r.words), r.n))
     plans = spark.createDataFrame(plan, fields(plan_source=STR, source_size=LONG, target=DBL, whole=INT, part=DBL, rest=DBL, n=LONG))
-    met = sized.join(F.broadcast(plans), sized.source.eqNullSafe(plans.plan_source)).drop("plan_source")  # a row per source
+    few = F.broadcast(plans) if len(plan) <= BROADCAST_SOURCES else plans  # a row per source
+    met = sized.join(few, sized.source.eqNullSafe(plans.plan_source)).drop("plan_source")
     level, most = 0, max((r.n for r in sums), default=0)
     now = scratch.save(met.select(*WALK.names[:-1], F.col("part").alias("more")))
     final, read = [], [now]
