@@ -134,3 +134,28 @@ def test_mixture_stage_and_run(spark, tmp_path):
         step = stage(spark, step, str(tmp_path))
     pieces = lambda df: Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert pieces(corpus_pipeline.run(spark, str(tmp_path))) == pieces(step) != Counter()
+
+
+def test_odd_rows_and_names(spark):
+    """Null and repeated ids, null and empty texts, repeated rows and columns of any name pass every stage."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet", "sit"]) + str(rng.randrange(50)) for _ in range(n))
+    rows = [(i, prose(40), "xx", rng.choice(["a", "b", None]), 1) for i in range(60)]
+    rows += [(None, prose(40), "xx", "a", 1), (None, prose(40), None, None, 1), (5, prose(40), "xx", "a", 1), (5, None, None, None, None), (None, "", "xx", "b", 0), rows[3], rows[3], (70, "1 2 3", None, "b", 5)]
+    names = ["key", "id", "times", "c0", "p_id", "n_lines", "rows", "h", "own", "__k", "__id", "__row", "size", "text_hash", "n", "root"]
+    plain = spark.createDataFrame(rows, DOCS)
+    docs = plain.select("*", *[common.F.lit(c).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, alone = stage(spark, docs, ""), stage(spark, plain, "")
+        assert got.columns == docs.columns, name
+        many = Counter(map(tuple, alone.collect()))
+        assert Counter(map(tuple, got.select(*plain.columns).collect())) == many, name
+        assert {tuple(r) for r in got.select(*names).collect()} == {tuple(names)}, name
+        if name == "language":
+            assert sum(many.values()) == len(rows) - 3
+        if name == "lines":
+            assert Counter((k[0], k[1]) for k in many.elements()) == Counter((r[0], r[1]) for r in rows)
+        if name == "near_duplicates":
+            assert Counter((k[0], k[1]) for k in many.elements()) == Counter((r[0], r[1]) for r in brute_kept(rows))
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    assert Counter(r.doc_id for r in corpus_pipeline.packed(spark, docs, "").collect())[None] == 3
