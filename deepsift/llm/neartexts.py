@@ -166,8 +166,8 @@ def _close(a: Column | str, b: Column | str) -> Column:
 
 
 def _by_key(members: DataFrame, *found) -> DataFrame:
-    """members(key, id, ...) with aggregates of their key, named and mergeable by min or max; a large key stays spread over SALTS."""
-    salted = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    """members(key, n, id, ...) with aggregates of their key, named and mergeable by min or max; a key of more than BLOCK members stays spread."""
+    salted = members.withColumn("s", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
     parts = salted.groupBy("key", "s").agg(*[f(c).alias(name) for name, f, c in found])
     whole = parts.groupBy("key").agg(*[f(name).alias(name) for name, f, _ in found])
     return salted.join(parts.select("key", "s").join(whole, "key"), ["key", "s"]).drop("s")
@@ -180,10 +180,10 @@ def _apart(members: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     return _by_key(rooted, ("lo", F.min, "root"), ("hi", F.max, "root")).where("lo <> hi").select("key", "n", "id", "bits", "root")
 
 
-def likely(pairs: DataFrame, prints: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs whose sizes and whole fingerprints leave a similarity of SHARE possible; prints(id, size, w0, w1, ...)."""
     side = lambda c: prints.select(F.col("id").alias(c), F.struct(*PRINTS.names[1:]).alias(f"{c}_print"))
-    met = pairs.join(side("p"), F.col(u) == F.col("p")).join(side("q"), F.col(v) == F.col("q"))
+    met = pairs.join(side("p"), F.col("u") == F.col("p")).join(side("q"), F.col("v") == F.col("q"))
     return met.where(_possible(F.col("p_print"), F.col("q_print"))).select(*pairs.columns)
 
 
@@ -230,16 +230,15 @@ BLOCK = 128
 
 
 def _tiles(left: DataFrame, texts_of, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) that connect all alike members of a key that are in different components; left(key, id, root, size, w0, ...).
+    """Edges (u, v) that connect all alike members of a key that are in different components; left(key, n, id, root, size, w0, ...).
 
     Two blocks of a key's members, with their texts, are one group: pairs are compared within it, first by
     fingerprints, and no pair leaves it but a forest of links between components.
     """
     ids = left.select("id").distinct()
     texts = scratch.save(texts_of(ids.select(F.col("id").alias("u"), F.col("id").alias("v"))))
-    members = left.select("key", "id", "root", "size", F.array(*PRINTS.names[2:]).alias("print"))
-    blocks = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS))).groupBy("key", "s").agg(F.count("*").alias("n")).groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(texts, "id").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    members = left.select("key", "id", "root", "size", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.array(*PRINTS.names[2:]).alias("print"))
+    dealt = members.join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = dealt.select("*", other.alias("other")).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     return tiles.select("key", "lo", "hi", "own", "id", "root", "size", "print", "text").groupBy("key", "lo", "hi").applyInArrow(_tile, fields(u=LONG, v=LONG))
