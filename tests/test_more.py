@@ -3,15 +3,19 @@
 import math
 import struct
 import zlib
+from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from deepsift.functions import poibin
 from deepsift.functions import quality as Q
 from deepsift.functions import tests as S
+from deepsift.functions.rounded import exp_nearest, log_whole
 from deepsift.operators import bias, indelqual, pileup, summary
 from deepsift.operators import variants as V
+from deepsift.plans import queries
 from deepsift.sources import bam, text, vcf
 
 
@@ -28,6 +32,24 @@ def test_logs_and_fisher(spark):
     assert (left, right) == pytest.approx((sum(mass[:4]), sum(mass[3:])))
 
 
+def test_strand_bias_of_chances_that_are_powers_of_ten(spark):
+    """Their truncated phred hangs on the last bit; 5 14 / 2 0 is a site of the test tables."""
+    tables = [(5, 14, 2, 0), (3, 0, 0, 2), (2, 0, 0, 3), (1, 18, 1, 0), (18, 1, 0, 1), (11, 27, 3, 1), (27, 1, 11, 3), (9, 0, 0, 1), (99, 0, 0, 1), (8999, 1000, 0, 1), (0, 0, 2, 0), (40, 0, 0, 30)]
+    tables += [(a, b, c, d) for n in range(10, 3000, 10) for a, b, c, d in ((n // 10 - 1, n - n // 10, 1, 0), (n - n // 10, n // 10 - 1, 0, 1))]
+    counts = ", ".join(f"({', '.join(f'{x}::BIGINT' for x in t)})" for t in tables)
+    want = duckdb.sql(f"SELECT a, b, c, d, {queries._SB} FROM (SELECT *, a + b + c + d AS n FROM (VALUES {counts}) AS t(a, b, c, d))").fetchall()
+    got = spark.createDataFrame(tables, "a long, b long, c long, d long").select("a", "b", "c", "d", S.strand_bias("a", "b", "c", "d"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_log_factorial_and_exponential_to_the_bit(spark):
+    whole, powers = [0, 1, 6, 7, 8, 255, 256, 257, 300, 1000, 4095, 4096], [0.0, -1e-9, -0.004, -0.5, -1.0, -2.302585092994046, -30.25, -699.5, 12.75]
+    got = one(spark, F.array(*[S.log_factorial(F.lit(n)) for n in whole]), F.array(*[log_whole(F.lit(n)) for n in whole[4:]]), F.array(*[exp_nearest(F.lit(x)) for x in powers]))
+    exact = [float(sum((Decimal(i).ln() for i in range(2, n + 1)), Decimal(0))) for n in whole]
+    assert got[0] == pytest.approx(exact, rel=4e-16) and got[1] == [float(Decimal(n).ln()) for n in whole[4:]]
+    assert got[2] == [float(Decimal(x).exp()) for x in powers]
+
+
 def test_poisson_binomial():
     def brute(p, k):
         dist = [1.0]
